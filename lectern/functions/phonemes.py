@@ -33,10 +33,28 @@ DISCONNECTED_LETTER_NAMES = {
 # ----------------------------------------------------------------------------
 
 
+# stand-ins for phonemes that are not exactly one character, and the separator
+_CODES = {p: chr(0xE000 + i) for i, p in enumerate(sorted({v for v in LETTER_PHONEMES.values() if len(v) != 1}))}
+_SEPARATOR = "\u0001"
+
+
 def _literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
 
 
+def _spoken(norm: Column) -> Column:
+    """Known letters to phonemes by plain string functions, split at the end."""
+    letters = "".join(LETTER_PHONEMES)
+    codes = "".join(_CODES.get(p, p) for p in LETTER_PHONEMES.values())
+    known = F.translate(F.regexp_replace(norm, f"[^{letters}]", ""), letters, codes)
+    marked = F.regexp_replace(known, "(?<=.)(?=.)", _SEPARATOR)
+    for phoneme, code in _CODES.items():
+        marked = F.replace(marked, F.lit(code), F.lit(phoneme))
+    return F.when(known == "", F.array().cast("array<string>")).otherwise(
+        F.split(marked, _SEPARATOR)
+    )
+
+
 def is_muqattaat(word: Column) -> Column:
     """At most two characters, the first a disconnected letter."""
     return (F.length(word) <= 2) & F.substring(word, 1, 1).isin(*DISCONNECTED_LETTER_NAMES)
@@ -52,16 +70,11 @@ def word_to_phonemes(word: Column, web_form: bool = False) -> Column:
     A lone disconnected letter is read by its name, one phoneme per character.
     """
     norm = normalize_arabic(word) if web_form else normalize_for_alignment(word)
-    table = _literal_map(LETTER_PHONEMES)
     names = _literal_map(DISCONNECTED_LETTER_NAMES)
-    spoken = F.filter(
-        F.transform(_letters(norm), lambda ch: F.try_element_at(table, ch)),
-        lambda p: p.isNotNull(),
-    )
     name = F.try_element_at(names, norm)
     return F.when(
         is_muqattaat(word) & (F.length(norm) == 1) & name.isNotNull(), _letters(name)
-    ).otherwise(spoken)
+    ).otherwise(_spoken(norm))
 
 
 def text_to_phonemes(text: Column, web_form: bool = False) -> Column:

@@ -1,5 +1,5 @@
 """Registered queries and the SQL each is checked against."""
 
-from workload import search
+from workload import catalogue, search, texts
 
-MODULES = (search,)
+MODULES = (search, catalogue, texts)
