@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.session import fresh_path
 from lectern.operators.index import word_index
+from lectern.operators.text_jobs import phoneme_table
 from lectern.sources import bindings
 
 _built: dict[tuple, tuple] = {}
@@ -39,8 +40,8 @@ def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arabic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the Arabic-lettered corpus, split as the aligner splits them."""
+    """Words of the Arabic-lettered corpus with phonemes, split as the aligner splits them."""
     return _once(
         spark, sf_dir, "arabic_words",
-        lambda: word_index(arabic_corpus(spark, sf_dir), need_space=True),
+        lambda: phoneme_table(word_index(arabic_corpus(spark, sf_dir), need_space=True)),
     )

@@ -93,3 +93,70 @@ def asr_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         fold_accents(F.col("text")).alias("text"),
         (F.col("role") != "user").alias("is_final"),
     )
+
+
+def verse_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as verse timings of one recording per user.
+
+    Verse n starts near second 6 n; every thirteenth event repeats the span before
+    it and every eleventh is missing, so repairs have work to do.
+    """
+    k = F.col("seq") - F.when(F.col("event_id") % 13 == 0, 1).otherwise(0)
+    start = k * 6.0 + (k % 4) * 0.5
+    return recording_events(spark, sf_dir).filter("event_id % 11 <> 0").select(
+        F.col("user_id").alias("recording"),
+        F.col("seq").alias("aya_no"),
+        start.cast("double").alias("start"),
+        (start + 4.0 + (k % 9) * 0.5).cast("double").alias("end"),
+    )
+
+
+def event_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as timed words: four to a verse, six to a segment, some gaps long.
+
+    Every seventeenth word carries the reference of the verse after its own.
+    """
+    step = F.when(F.col("user_id") % 2 == 0, 1.25).otherwise(11.0)
+    start = F.col("seq") * step + (F.col("event_id") % 7) * 0.125
+    owner = F.floor((F.col("seq") - 1) / 4) + 1
+    named = owner + F.when(F.col("event_id") % 17 == 0, 1).otherwise(0)
+    word = (F.col("seq") - 1) % 4 + 1
+    return recording_events(spark, sf_dir).select(
+        F.col("user_id").alias("recording"),
+        F.floor((F.col("seq") - 1) / 6).alias("segment_idx"),
+        owner.alias("aya_no"),
+        named.alias("ref_aya_no"),
+        F.col("seq").alias("at"),
+        F.col("event_type").alias("word"),
+        F.when(F.col("event_id") % 29 == 0, F.lit("")).otherwise(
+            F.concat_ws(":", F.col("user_id").cast("string"), named.cast("string"), word.cast("string"))
+        ).alias("word_ref"),
+        start.cast("double").alias("start"),
+        (start + 0.5 + (F.col("event_id") % 5) * 0.25).cast("double").alias("end"),
+    )
+
+
+def aligned_segments(words: DataFrame, size: int = 9) -> DataFrame:
+    """Word index rows as aligned segments of ``size`` words, one recording per chapter.
+
+    Some segments failed, and some cover the words of the segment before again.
+    """
+    first = words.groupBy("sura_no").agg(
+        F.min("global_pos").alias("first"), F.max("global_pos").alias("last")
+    )
+    seg = first.select(
+        "sura_no", "first", "last",
+        F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - F.col("first")) / size))).alias("i"),
+    )
+    back = F.when((F.col("i") % 13 == 5) & (F.col("i") > 0), size).otherwise(0)
+    start = F.col("first") + F.col("i") * size - back
+    t0 = F.col("i") * 4.0 + (F.col("i") % 3) * 0.125
+    return seg.select(
+        F.col("sura_no").alias("recording"),
+        F.col("i").cast("bigint").alias("segment_idx"),
+        t0.cast("double").alias("time_start"),
+        (t0 + 3.5 + (F.col("i") % 5) * 0.25).cast("double").alias("time_end"),
+        start.alias("start_pos"),
+        F.least(start + size - 1, F.col("last")).alias("end_pos"),
+        F.when(F.col("i") % 11 == 7, F.lit("No confident match found")).alias("error"),
+    )

@@ -1,5 +1,5 @@
 """Registered queries and the SQL each is checked against."""
 
-from workload import catalogue, search, texts
+from workload import catalogue, search, texts, timing
 
-MODULES = (search, catalogue, texts)
+MODULES = (search, catalogue, texts, timing)
