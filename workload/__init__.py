@@ -1,5 +1,5 @@
 """Registered queries and the SQL each is checked against."""
 
-from workload import catalogue, search, texts, timing
+from workload import catalogue, search, study, texts, timing
 
-MODULES = (search, catalogue, texts, timing)
+MODULES = (search, catalogue, texts, timing, study)
