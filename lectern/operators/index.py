@@ -150,7 +150,8 @@ def text_window(windows: DataFrame, words: DataFrame, width: int = 256) -> DataF
 
     Windows reaching past the corpus are cut to it; an empty one gives ''.
     """
-    hits = _window_words(windows.filter("start_pos <= end_pos"), words, width, ["text"])
+    asked = windows.filter("start_pos <= end_pos").select("window_id", "start_pos", "end_pos")
+    hits = _window_words(asked, words, width, ["text"])
     texts = hits.groupBy("window_id").agg(
         F.array_join(
             F.array_sort(F.collect_list(F.struct("global_pos", "text")))["text"], " "
@@ -163,10 +164,11 @@ def text_window(windows: DataFrame, words: DataFrame, width: int = 256) -> DataF
 
 def phoneme_window(windows: DataFrame, words: DataFrame, width: int = 256) -> DataFrame:
     """Phonemes of each window and the corpus position of the word owning each."""
-    spoken = words.select(
+    spoken = words.select("global_pos", "phonemes") if "phonemes" in words.columns else words.select(
         "global_pos", F.flatten(text_to_phonemes(F.col("text"))).alias("phonemes")
     )
-    hits = _window_words(windows.filter("start_pos <= end_pos"), spoken, width, ["phonemes"])
+    asked = windows.filter("start_pos <= end_pos").select("window_id", "start_pos", "end_pos")
+    hits = _window_words(asked, spoken, width, ["phonemes"])
     packed = hits.groupBy("window_id").agg(
         F.array_sort(F.collect_list(F.struct("global_pos", "phonemes"))).alias("ws")
     )

@@ -258,14 +258,12 @@ def streaks(sessions: DataFrame, as_of: dt.date) -> DataFrame:
     days = sessions.filter("completed").select("plan_id", F.to_date("date").alias("day")).distinct()
     n = F.row_number().over(W.partitionBy("plan_id").orderBy("day"))
     islands = days.withColumn("_start", F.date_sub("day", n)).groupBy("plan_id", "_start").agg(
-        F.count(F.lit(1)).alias("length"), F.max("day").alias("last"), F.min("day").alias("first")
-    )
-    today = F.lit(as_of)
-    current = F.when(
-        (F.col("first") <= today) & (F.col("last") == today), F.col("length")
+        F.count(F.lit(1)).alias("length"), F.max("day").alias("last")
     )
+    # the newest day must be today itself; its run is then the current one
+    current = F.when(F.max("last") == F.lit(as_of), F.max_by("length", "last"))
     return islands.groupBy("plan_id").agg(
-        F.coalesce(F.max(current), F.lit(0)).alias("current_streak"),
+        F.coalesce(current, F.lit(0)).alias("current_streak"),
         F.max("length").alias("longest_streak"),
     )
 

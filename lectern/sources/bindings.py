@@ -160,3 +160,42 @@ def aligned_segments(words: DataFrame, size: int = 9) -> DataFrame:
         F.least(start + size - 1, F.col("last")).alias("end_pos"),
         F.when(F.col("i") % 11 == 7, F.lit("No confident match found")).alias("error"),
     )
+
+
+def recitations(words: DataFrame, size: int = 8) -> DataFrame:
+    """Every chapter recited in chunks of ``size`` words, heard imperfectly.
+
+    Each seventh word is lost and each fifth one comes out backwards.
+    """
+    first = words.groupBy("sura_no").agg(F.min("global_pos").alias("_first"))
+    i = F.col("global_pos") - F.col("_first")
+    rows = words.join(first, "sura_no").withColumn("_i", i).withColumn("chunk", F.floor(i / size))
+    heard = F.when(F.col("_i") % 5 == 4, F.reverse("text")).otherwise(F.col("text"))
+    kept = F.when(F.col("_i") % 7 != 6, F.struct("_i", heard.alias("w")))
+    return rows.groupBy("sura_no", "chunk").agg(
+        F.array_sort(F.collect_list(kept))["w"].alias("words"),
+        F.min_by("page", "_i").alias("page"), F.min_by("flat_index", "_i").alias("pointer"),
+    )
+
+
+def spoken_segments(words: DataFrame, refuge: str, opening: str) -> DataFrame:
+    """Recitations as transcript segments of one recording per chapter.
+
+    Two chapters in three open with the refuge formula and two in four with the opening
+    one; every twelfth chunk is only noise.
+    """
+    chunks = recitations(words)
+    text = F.when(F.col("chunk") % 12 == 7, F.reverse(F.array_join("words", ""))).otherwise(F.array_join("words", " "))
+    at = F.col("chunk") + 2
+    body = chunks.select(
+        "sura_no", at.alias("segment_idx"), (at * 3.0).alias("start"), (at * 3.0 + 2.5).alias("end"), text.alias("text")
+    )
+    chapters = words.select("sura_no").distinct()
+    head = chapters.filter("sura_no % 3 < 2").select(
+        "sura_no", F.lit(0).cast("bigint").alias("segment_idx"), F.lit(0.0).alias("start"), F.lit(2.5).alias("end"), F.lit(refuge).alias("text")
+    )
+    second = chapters.filter("sura_no % 4 < 2").select(
+        "sura_no", F.lit(1).cast("bigint").alias("segment_idx"), F.lit(3.0).alias("start"), F.lit(5.5).alias("end"),
+        F.when(F.col("sura_no") % 8 == 1, F.substring_index(F.lit(opening), " ", 2)).otherwise(F.lit(opening)).alias("text"),
+    )
+    return body.unionByName(head).unionByName(second).withColumn("recording", F.col("sura_no"))
