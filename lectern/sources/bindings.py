@@ -199,3 +199,41 @@ def spoken_segments(words: DataFrame, refuge: str, opening: str) -> DataFrame:
         F.when(F.col("sura_no") % 8 == 1, F.substring_index(F.lit(opening), " ", 2)).otherwise(F.lit(opening)).alias("text"),
     )
     return body.unionByName(head).unionByName(second).withColumn("recording", F.col("sura_no"))
+
+
+def passage_stream(spark: SparkSession, sf_dir: str, step: int = 8) -> DataFrame:
+    """``benchmark`` passages heard bit by bit: each row's text holds all before it."""
+    words = F.filter(F.split(fold_accents(F.col("text")), "\\s+"), lambda w: w != "")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    last = F.ceil(F.size("w") / step)
+    return rows.select("item_id", "w", last.alias("last"), F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("seq")).select(
+        F.col("item_id").alias("session"), "seq",
+        F.array_join(F.slice("w", F.lit(1), (F.col("seq") * step).cast("int")), " ").alias("text"),
+        (F.col("seq") == F.col("last")).alias("is_final"),
+    )
+
+
+def recitation_stream(words: DataFrame) -> DataFrame:
+    """Recitations as transcripts that grow over three chunks, the third one final.
+
+    A session recites its chapter; its page is the one the chapter begins on. Every
+    fourth third-chunk is followed by a correction row for strict tracking.
+    """
+    chunks = recitations(words)
+    first = words.groupBy("sura_no").agg(F.min_by("page", "global_pos").alias("page"))
+    part = chunks.select("sura_no", "chunk", "words", F.floor(F.col("chunk") / 3).alias("run"))
+    grown = part.alias("a").join(part.alias("b"), ["sura_no", "run"]).filter("b.chunk <= a.chunk").groupBy(
+        "sura_no", F.col("a.chunk").alias("chunk")
+    ).agg(
+        F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct(F.col("b.chunk"), F.col("b.words"))))["words"]), " ").alias("text")
+    )
+    said = grown.join(first, "sura_no").select(
+        F.col("sura_no").alias("session"), "page", (F.col("chunk") * 2).alias("seq"),
+        F.timestamp_seconds(F.col("chunk") * 3).alias("ts"), F.lit("asr").alias("kind"), "text",
+        (F.col("chunk") % 3 == 2).alias("is_final"),
+    )
+    mended = said.filter("is_final").select(
+        "session", "page", (F.col("seq") + 1).alias("seq"), "ts", F.lit("correct").alias("kind"),
+        F.lit("").alias("text"), F.lit(False).alias("is_final"),
+    )
+    return said.unionByName(mended)

@@ -1,5 +1,5 @@
 """Registered queries and the SQL each is checked against."""
 
-from workload import catalogue, matching, search, study, texts, timing
+from workload import catalogue, matching, search, streams, study, texts, timing
 
-MODULES = (search, catalogue, texts, timing, study, matching)
+MODULES = (search, catalogue, texts, timing, study, matching, streams)

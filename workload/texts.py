@@ -205,7 +205,8 @@ FROM events e LEFT JOIN starts a ON a.sura_no = user_id AND a.aya_no = 1 LEFT JO
         "SELECT window_id, coalesce(string_agg(text, ' ' ORDER BY global_pos), '') AS window_text FROM windows LEFT JOIN words ON global_pos BETWEEN start_pos AND end_pos GROUP BY window_id",
     ),
     "phoneme_window": with_(
-        f"{SPOKEN}, {WINDOWS}, hit AS (SELECT window_id, global_pos, p FROM windows JOIN spoken ON global_pos BETWEEN start_pos AND end_pos WHERE len(p) > 0), "
+        f"{SPOKEN}, {WINDOWS}, places AS (SELECT window_id, unnest(range(greatest(start_pos, 0), end_pos + 1)) AS global_pos FROM windows), "
+        "hit AS (SELECT window_id, spoken.global_pos, p FROM places JOIN spoken ON spoken.global_pos = places.global_pos WHERE len(p) > 0), "
         "packed AS (SELECT window_id, string_agg(array_to_string(p, ' '), ' ' ORDER BY global_pos) AS ph, "
         "string_agg(array_to_string(list_transform(p, lambda x: global_pos), ' '), ' ' ORDER BY global_pos) AS ow FROM hit GROUP BY window_id)",
         "SELECT window_id, coalesce(ph, '') AS phonemes, coalesce(ow, '') AS owners FROM windows LEFT JOIN packed USING (window_id)",
