@@ -33,25 +33,20 @@ DISCONNECTED_LETTER_NAMES = {
 # ----------------------------------------------------------------------------
 
 
-# stand-ins for phonemes that are not exactly one character, and the separator
-_CODES = {p: chr(0xE000 + i) for i, p in enumerate(sorted({v for v in LETTER_PHONEMES.values() if len(v) != 1}))}
-_SEPARATOR = "\u0001"
-
-
 def _literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
 
 
+# phonemes by code point, so that a letter's phoneme is one array access
+_FIRST = min(map(ord, LETTER_PHONEMES))
+_BY_CODE = [LETTER_PHONEMES.get(chr(c)) for c in range(_FIRST, max(map(ord, LETTER_PHONEMES)) + 1)]
+
+
 def _spoken(norm: Column) -> Column:
-    """Known letters to phonemes by plain string functions, split at the end."""
-    letters = "".join(LETTER_PHONEMES)
-    codes = "".join(_CODES.get(p, p) for p in LETTER_PHONEMES.values())
-    known = F.translate(F.regexp_replace(norm, f"[^{letters}]", ""), letters, codes)
-    marked = F.regexp_replace(known, "(?<=.)(?=.)", _SEPARATOR)
-    for phoneme, code in _CODES.items():
-        marked = F.replace(marked, F.lit(code), F.lit(phoneme))
-    return F.when(known == "", F.array().cast("array<string>")).otherwise(
-        F.split(marked, _SEPARATOR)
+    """Phonemes of the known letters, in order."""
+    table = F.array(*[F.lit(p).cast("string") for p in _BY_CODE])
+    return F.array_compact(
+        F.transform(F.split(norm, ""), lambda ch: F.get(table, F.ascii(ch) - _FIRST))
     )
 
 

@@ -46,3 +46,14 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few small files out to all cores before heavy row work.
+
+    A table of many files or splits is left as it is; at scale this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 4 * cores:
+        return df.repartition(cores)
+    return df

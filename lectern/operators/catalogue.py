@@ -194,12 +194,17 @@ def part_index(verses: DataFrame) -> DataFrame:
     return _first_by_id(verses, ["jozz"], ["page", "sura_no", "sura_name_en", "aya_no"])
 
 
-def _grams(text: Column, n: int) -> Column:
-    count = F.length(text) - (n - 1)
+def _grams(chars: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters of an array of characters."""
+    if n == 1:
+        return F.array_distinct(chars)
+    last = F.size(chars) - n
     return F.when(
-        count >= 1,
+        last >= 0,
         F.array_distinct(
-            F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(text, i, F.lit(n)))
+            F.transform(
+                F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
+            )
         ),
     ).otherwise(F.array().cast("array<string>"))
 
@@ -211,12 +216,13 @@ def _containing(queries: DataFrame, needle: str, texts: DataFrame, text: str) ->
     offer their distinct grams of that length, and the full test runs on the pairs.
     """
     size = F.length(F.col(needle))
+    texts = texts.withColumn("_chars", F.filter(F.split(F.col(text), ""), lambda ch: ch != ""))
     out = None
     for n in (1, 2, 3):
         mine = queries.filter(size == n if n < 3 else size >= n).withColumn(
             "_gram", F.right(F.col(needle), F.lit(n))
         )
-        grams = texts.withColumn("_gram", F.explode(_grams(F.col(text), n)))
+        grams = texts.withColumn("_gram", F.explode(_grams(F.col("_chars"), n))).drop("_chars")
         pairs = grams.join(mine, "_gram").filter(F.col(text).contains(F.col(needle))).drop("_gram")
         out = pairs if out is None else out.unionByName(pairs)
     return out

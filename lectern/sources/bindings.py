@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.ordering import rank_within, running_offset
+from lectern.functions.session import spread
 from lectern.functions.text import int_to_arabic_indic
 
 # --- fixed values -----------------------------------------------------------
@@ -43,7 +44,7 @@ def lines_of(text: Column) -> Column:
 
 def verses(spark: SparkSession, sf_dir: str, arabic: bool = False) -> DataFrame:
     """``documents`` as verses: each non-blank line is a verse of its document."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "source", lines_of(F.col("text")).alias("lines")
     )
     sizes = docs.select("doc_id", F.size("lines").alias("n"))
