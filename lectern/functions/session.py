@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cores: str = "8", partitions: int = 8, app: str = "lectern") -> SparkSession:
@@ -57,3 +58,14 @@ def spread(df: DataFrame) -> DataFrame:
     if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 4 * cores:
         return df.repartition(cores)
     return df
+
+
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow table for broadcast if it has at most ``rows`` rows.
+
+    Counts up to that many rows (a job). A larger table is left to a shuffled join.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.folds import ordered_fold
+from lectern.functions.session import broadcast_if_small
 
 # --- fixed values -----------------------------------------------------------
 MEDINAN_CHAPTERS = (
@@ -213,7 +214,8 @@ def _containing(queries: DataFrame, needle: str, texts: DataFrame, text: str) ->
     """Pairs whose ``text`` contains the non-empty ``needle``, by equi-join.
 
     A needle is sought by its last three characters (all of it when shorter); texts
-    offer their distinct grams of that length, and the full test runs on the pairs.
+    offer their distinct grams of that length, and the full test runs on the pairs. Few
+    needles are broadcast, so grams are looked up where they are made.
     """
     size = F.length(F.col(needle))
     texts = texts.withColumn("_chars", F.filter(F.split(F.col(text), ""), lambda ch: ch != ""))
@@ -223,7 +225,7 @@ def _containing(queries: DataFrame, needle: str, texts: DataFrame, text: str) ->
             "_gram", F.right(F.col(needle), F.lit(n))
         )
         grams = texts.withColumn("_gram", F.explode(_grams(F.col("_chars"), n))).drop("_chars")
-        pairs = grams.join(mine, "_gram").filter(F.col(text).contains(F.col(needle))).drop("_gram")
+        pairs = grams.join(broadcast_if_small(mine), "_gram").filter(F.col(text).contains(F.col(needle))).drop("_gram")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 

@@ -110,8 +110,8 @@ def word_blocks(
     """The corpus cut into blocks of ``width`` words, each with the next ``overlap``.
 
     A block is a row ``(block, base, <col> arrays)`` of at most ``width + overlap``
-    words, so slices are found by an equi-join on the block number. ``only`` names the
-    blocks that are wanted; words of others are dropped before they are shuffled.
+    words, so slices are found by an equi-join on the block number. ``only`` holds the
+    numbers of the blocks that are wanted; words of others are dropped before they are shuffled.
     """
     home = F.floor(F.col("global_pos") / width)
     reach = -(-overlap // width)
@@ -124,7 +124,7 @@ def word_blocks(
         F.struct("global_pos", *cols).alias("w"),
     )
     if only is not None:
-        rows = rows.join(only.select("block").distinct(), "block", "left_semi")
+        rows = rows.join(only, "block", "left_semi")
     packed = rows.groupBy("block").agg(F.array_sort(F.collect_list("w")).alias("ws"))
     return packed.select(
         "block",

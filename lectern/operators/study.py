@@ -325,21 +325,24 @@ def next_new_page(plans: DataFrame, progress: DataFrame) -> DataFrame:
 
 def next_chapter(plans: DataFrame, progress: DataFrame, chapter_pages: DataFrame) -> DataFrame:
     """First chapter, in the plan's direction, with a page not started; else null."""
-    sizes = chapter_pages.groupBy("sura_no").agg(F.count(F.lit(1)).alias("n_pages"))
-    ranks = running_offset(sizes.withColumn("_one", F.lit(1)), "sura_no", "_one", "place")
-    placed = sizes.join(ranks, "sura_no")
-    last = sizes.agg(F.count(F.lit(1)).alias("_last"))
+    sizes = chapter_pages.groupBy("sura_no").agg(F.count(F.lit(1)).alias("n_pages")).withColumn("_one", F.lit(1))
+
+    def ranked(key: Column, back: bool) -> DataFrame:
+        rows = sizes.withColumn("_key", key)
+        ranks = running_offset(rows, "_key", "_one", "place")
+        return rows.join(ranks, "_key").select("sura_no", "n_pages", F.lit(back).alias("_back"), "place")
+
+    placed = ranked(F.col("sura_no"), False).unionByName(ranked(-F.col("sura_no"), True))
+    p = plans.select("plan_id", (F.col("direction") == "backward").alias("_back"))
     started = (
         progress.select("plan_id", "page").distinct().join(chapter_pages, "page")
         .groupBy("plan_id", "sura_no").agg(F.count(F.lit(1)).alias("_s"))
-        .join(placed, "sura_no").filter("_s = n_pages").select("plan_id", "place")
+        .join(p, "plan_id").join(placed, ["sura_no", "_back"]).filter("_s = n_pages")
+        .select("plan_id", "place", F.lit(0).alias("_origin"), F.lit(False).alias("_down"))
     )
-    p = plans.select("plan_id", (F.col("direction") == "backward").alias("_back")).join(F.broadcast(last))
-    p = p.withColumn("_origin", F.when(F.col("_back"), F.col("_last") - 1).otherwise(F.lit(0)))
-    run = _first_gap(started.join(p, "plan_id"), "place", "_origin", "_back")
-    at = p.join(run, "plan_id", "left").withColumn("_run", F.coalesce("_run", F.lit(0)))
-    place = F.when(F.col("_back"), F.col("_origin") - F.col("_run")).otherwise(F.col("_origin") + F.col("_run"))
-    return at.withColumn("place", place).join(placed, "place", "left").select("plan_id", F.col("sura_no").alias("next_sura"))
+    run = _first_gap(started, "place", "_origin", "_down")
+    at = p.join(run, "plan_id", "left").withColumn("place", F.coalesce("_run", F.lit(0)))
+    return at.join(placed, ["_back", "place"], "left").select("plan_id", F.col("sura_no").alias("next_sura"))
 
 
 def chapter_for_page(asked: DataFrame, next_chapters: DataFrame, primary: DataFrame) -> DataFrame:
