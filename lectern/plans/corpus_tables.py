@@ -6,6 +6,7 @@ column pruning, and a lost executor costs a re-read only.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.session import fresh_path
@@ -18,13 +19,18 @@ _built: dict[tuple, tuple] = {}
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _built:
-        df = make()
-        path = fresh_path(spark, name)
-        df.write.parquet(path)
-        _built[key] = (path, df.schema)
-    path, schema = _built[key]
-    return spark.read.schema(schema).parquet(path)
+    if key in _built:
+        path, schema = _built[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            # the folder has been cleared since
+            del _built[key]
+    df = make()
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    _built[key] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,13 +70,11 @@ def verses(spark: SparkSession, sf_dir: str, arabic: bool = False) -> DataFrame:
     )
 
 
-def passage_queries(spark: SparkSession, sf_dir: str, words: int = 12) -> DataFrame:
-    """``benchmark`` passages as spoken queries of their first words."""
+def passage_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``benchmark`` passages as spoken queries, whole."""
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.slice(
-            F.filter(F.split(fold_accents(F.col("text")), "\\s+"), lambda w: w != ""), 1, words
-        ).alias("words"),
+        F.filter(F.split(fold_accents(F.col("text")), "\\s+"), lambda w: w != "").alias("words"),
     )
 
 

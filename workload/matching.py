@@ -119,14 +119,12 @@ def adjust_segment_times(spark, sf_dir):
 
 
 def _lost(spark, sf_dir):
-    """Every twelfth chunk, its pointer put ninety words off."""
-    words = arabic_words(spark, sf_dir)
-    heard = bindings.recitations(words)
-    start = index.chapter_ranges(words)
-    rows = heard.filter("chunk % 12 = 5").join(start, "sura_no")
+    """The segments no place was found for, with the pointer they were sought at."""
+    failed = aligned(spark, sf_dir).filter("kind = 'failed'").select("recording", "segment_idx", "pointer")
+    rows = failed.join(segments(spark, sf_dir), ["recording", "segment_idx"])
     return rows.select(
-        F.concat_ws(":", F.col("sura_no").cast("string"), F.col("chunk").cast("string")).alias("ask_id"), "sura_no",
-        F.least(F.col("start_pos") + F.col("chunk") * 8 + 90, F.col("end_pos")).alias("pointer"), F.array_join("words", " ").alias("text"),
+        F.concat_ws(":", F.col("recording").cast("string"), F.col("segment_idx").cast("string")).alias("ask_id"),
+        "sura_no", "pointer", "text",
     )
 
 

@@ -104,13 +104,6 @@ def pages_of(spark, sf_dir):
     return cat.chapter_pages(corpus(spark, sf_dir))
 
 
-def small_pages(spark, sf_dir):
-    """Chapters whose pages all lie in the first sixty, so that some get finished."""
-    v = corpus(spark, sf_dir)
-    inside = v.groupBy("sura_no").agg(F.max("page").alias("p")).filter("p <= 60").select("sura_no")
-    return cat.chapter_verses(v, inside).select("sura_no", "page").distinct()
-
-
 def _text_pages(df):
     return df.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
 
@@ -178,7 +171,7 @@ def next_new_page(spark, sf_dir):
 
 
 def next_chapter(spark, sf_dir):
-    return study.next_chapter(plans(spark, sf_dir), progress(spark, sf_dir), small_pages(spark, sf_dir))
+    return study.next_chapter(plans(spark, sf_dir), progress(spark, sf_dir), pages_of(spark, sf_dir))
 
 
 def chapter_for_page(spark, sf_dir):
@@ -189,7 +182,7 @@ def chapter_for_page(spark, sf_dir):
 
 
 def chapter_progress(spark, sf_dir):
-    return study.chapter_progress(next_chapter(spark, sf_dir), progress(spark, sf_dir), small_pages(spark, sf_dir))
+    return study.chapter_progress(next_chapter(spark, sf_dir), progress(spark, sf_dir), pages_of(spark, sf_dir))
 
 
 def completion_percentage(spark, sf_dir):
@@ -349,7 +342,7 @@ NEXT_PAGE = """next_page AS (SELECT plan_id, CASE WHEN direction = 'forward' THE
   SELECT p.*, c.pg FROM plans p LEFT JOIN (SELECT q.plan_id, unnest(range(q.start_page, q.end_page + 1)) AS pg FROM plans q) c
     ON c.plan_id = p.plan_id AND NOT EXISTS (SELECT 1 FROM progress r WHERE r.plan_id = p.plan_id AND r.page = c.pg)) GROUP BY plan_id, direction)"""
 NEXT_CHAPTER = f"""{VERSES}, {PROGRESS},
-cp AS (SELECT DISTINCT sura_no, page FROM verses WHERE sura_no IN (SELECT sura_no FROM verses GROUP BY sura_no HAVING max(page) <= 60)),
+cp AS (SELECT DISTINCT sura_no, page FROM verses),
 missing AS (SELECT DISTINCT p.plan_id, direction, sura_no FROM plans p CROSS JOIN cp WHERE NOT EXISTS (SELECT 1 FROM progress r WHERE r.plan_id = p.plan_id AND r.page = cp.page)),
 next_ch AS (SELECT p.plan_id, CASE WHEN p.direction = 'forward' THEN min(sura_no) ELSE max(sura_no) END AS next_sura FROM plans p LEFT JOIN missing m ON m.plan_id = p.plan_id GROUP BY p.plan_id, p.direction)"""
 STREAKS = """days AS (SELECT DISTINCT plan_id, date::DATE AS d FROM sessions WHERE completed),
