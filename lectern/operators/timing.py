@@ -127,7 +127,8 @@ def split_duplicate_spans(spans: DataFrame) -> DataFrame:
 
     The earlier verse keeps the first half, the later one the second. Halves can
     coincide with yet another verse, so verses are taken in order; only spans that
-    are, or can come to be, the same as another take part.
+    are, or can come to be, the same as another take part. Finding those runs a small
+    job per round, so give it a table, not a long plan.
     """
     sig = F.struct(round3(F.col("start")).alias("s"), round3(F.col("end")).alias("e"))
     rows = spans.withColumn("_sig", sig)
