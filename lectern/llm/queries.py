@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate
+from lectern.llm import decontaminate, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,14 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(_table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return placed.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op8_packing": op8_packing,
 }
 
 ORACLES = {
