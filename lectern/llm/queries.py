@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, packing
+from lectern.llm import decontaminate, packing, quality_qda, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,14 +37,28 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=("doc_id",))
+    scored = scored.select("doc.doc_id", "score", "predicted")
+    return scored.select("doc_id", quality_qda.held_out(3).alias("held_out"), "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(_table(spark, sf_dir, "documents"), keep=("doc_id",))
     return placed.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    judged = quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")), keep=("doc_id",))
+    return judged.select("doc.doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "score")
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op8_packing": op8_packing,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES = {
