@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, language_id, packing, quality_qda, quality_rules
+from lectern.llm import decontaminate, language_id, lm_score, packing, quality_qda, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_qda.held_out(3).alias("held_out"), "score", "predicted")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality_qda.held_out(5)
+    scored = lm_score.score(_table(spark, sf_dir, "documents"), keep=("doc_id",), learn=~held_out)
+    scored = scored.select("doc.doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(_table(spark, sf_dir, "documents"), keep=("doc_id",))
     return placed.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -66,6 +73,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_lm_score": op4_lm_score,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
 }
