@@ -38,7 +38,7 @@ from lectern.llm import exchange
 from lectern.llm.text import SPACED, Words, mix, pair, row_sums, runs
 
 #: pseudo-count of the unigram distribution in every context
-PULL = 20.0
+PULL = 1000.0
 _END, _START = mix(np.array([0xE7D, 0x57A], dtype=np.uint64))
 _TAG = np.uint64(2)
 
