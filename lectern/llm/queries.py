@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, language_id, lm_score, packing, quality_qda, quality_rules, substring_dedup
+from lectern.llm import decontaminate, language_id, lm_score, near_dup, packing, quality_qda, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc.doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "score")
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(_table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return found.members.select("doc_id", "class_id", "kept")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -98,6 +103,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_near_dup": op10_near_dup,
 }
 
 ORACLES = {
