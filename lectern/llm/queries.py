@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language_id, lm_score, near_dup, packing, quality_qda, quality_rules, substring_dedup
+from lectern.functions.session import fresh_path
+from lectern.llm import decontaminate, language_id, lm_score, near_dup, packing, quality_qda, quality_rules, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,33 @@ FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path, with_payload=False).where("kind = 'record'")
+    return found.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT page_id, strlen(payload)::BIGINT AS n, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS top FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT) AS vs FROM h)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(vs, lambda v:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(_table(spark, sf_dir, "documents"), keep=("doc_id",))
     return placed.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -101,12 +130,14 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_lm_score": op4_lm_score,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_dup": op10_near_dup,
 }
 
 ORACLES = {
+    "op7_warc": OP7_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op2_decontamination": OP2_SQL,
 }
