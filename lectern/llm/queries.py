@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.session import fresh_path
-from lectern.llm import decontaminate, language_id, lm_score, near_dup, packing, quality_qda, quality_rules, substring_dedup, warc
+from lectern.llm import decontaminate, language_id, license_scan, lm_score, near_dup, packing, quality_qda, quality_rules, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.summarise(license_scan.scan(_table(spark, sf_dir, "documents"), keep=("doc_id",)))
+    return found.select("doc.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), keep=("doc_id",))
     return found.select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
@@ -129,6 +134,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_lm_score": op4_lm_score,
+    "op5_license_scan": op5_license_scan,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
