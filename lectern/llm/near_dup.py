@@ -150,15 +150,15 @@ class Classes:
         self.table, self.members = table, members
 
     def kept_documents(self) -> DataFrame:
-        """``doc`` of one document per class; texts stay where they are, the verdicts travel."""
-        schema = T.StructType([self.table.schema["doc"]])
+        """``doc`` and text of one document per class; texts stay where they are, the verdicts travel."""
+        schema = T.StructType([self.table.schema["doc"], self.table.schema["text"]])
         kept = self.members.where("kept").select(F.shiftright("row", exchange.ORD_BITS).alias("block"), F.col("row").alias("keeper"))
 
         def chosen(block: pa.Table, keepers: pa.Table) -> pa.Table:
             mask = (1 << exchange.ORD_BITS) - 1
             ords = np.sort(keepers.column("keeper").to_numpy() & mask)
             own = block.column("ord").to_numpy()
-            return block.select(["doc"]).take(pa.array(np.searchsorted(own, ords), pa.int64()))
+            return block.select(["doc", "text"]).take(pa.array(np.searchsorted(own, ords), pa.int64()))
 
         return exchange.meet(self.table, kept, chosen, schema)
 
