@@ -163,7 +163,8 @@ _RULES = rf"""
 1 | 0.9 | polyform | polyform | polyform \w+(?: \w+)? licen[cs]e(?: 1 0 0)?
 1 | 0.9 | openrail | openrail | openrail(?: m)?(?: licen[cs]e)?
 1 | 0.9 | llama | llama | llama(?: \d)* community licen[cs]e(?: agreement)?
-1 | 0.9 | odbl-1.0 | open d | open (?:data commons )?(?:open )?database licen[cs]e(?: odbl)?(?: version| v)?(?: 1 0)?
+1 | 0.9 | odbl-1.0 | open database | open database licen[cs]e(?: odbl)?(?: version| v)?(?: 1 0)?
+1 | 0.9 | odbl-1.0 | open data commons | open data commons open database licen[cs]e(?: odbl)?(?: version| v)?(?: 1 0)?
 1 | 0.9 | odbl-1.0 | odbl | odbl(?: 1 0)?
 1 | 0.9 | odc-by-1.0 | open data commons | open data commons attribution licen[cs]e(?: version| v)?(?: 1 0)?
 1 | 0.9 | pddl-1.0 | public domain dedication | public domain dedication and licen[cs]e(?: pddl)?(?: 1 0)?
