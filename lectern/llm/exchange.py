@@ -13,6 +13,8 @@ the number of buckets follows the amount of text, so a bucket stays within one t
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,20 +34,35 @@ BLOCK_ROWS = 1 << 16
 BUCKET_KEYS = 500_000
 ORD_BITS = 22
 
+_ZSTD = pa.Codec("zstd", 1)
+
 SENT = "bucket long, block long, keys binary, values binary, bounds binary"
 ANSWER = "block long, keys binary, values binary"
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Byte planes: the shared leading bytes of ascending keys and small values compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Compressed byte planes: small values leave little but their last plane."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return values.size.to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
 
 
 def unpack(body: bytes | None) -> np.ndarray:
-    planes = np.frombuffer(body or b"", dtype=np.uint8).reshape(8, -1)
+    size = int.from_bytes(body[:8], "little") if body else 0
+    if not size:
+        return np.zeros(0, dtype=np.uint64)
+    planes = np.frombuffer(_ZSTD.decompress(body[8:], 8 * size), dtype=np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
+def pack_ascending(keys: np.ndarray) -> bytes:
+    """Ascending keys by their steps."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_ascending(body: bytes | None) -> np.ndarray:
+    return np.cumsum(unpack(body), dtype=np.uint64)
+
+
 def blocks(docs: DataFrame, keep: Iterable[str], name: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """Documents as a written table: block, ord, doc (struct of ``keep``), text and ``extra``.
 
@@ -101,7 +118,7 @@ def sent_rows(block: int, keys: np.ndarray, values: np.ndarray, bounds: np.ndarr
         {
             "bucket": pa.array(bucket[start].astype(np.int64)),
             "block": pa.array(np.full(start.size, block, dtype=np.int64)),
-            "keys": pa.array([pack(keys[a:b]) for a, b in spans], pa.binary()),
+            "keys": pa.array([pack_ascending(keys[a:b]) for a, b in spans], pa.binary()),
             "values": pa.array([pack(values[a:b]) for a, b in spans], pa.binary()),
             "bounds": pa.array([None if bounds is None else pack(bounds[a:b]) for a, b in spans], pa.binary()),
         }
@@ -129,7 +146,7 @@ def answer(sent: DataFrame, name: str, least: bool = False, totals: Callable[[np
     def merged(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
         block = group.column("block").to_pylist()
-        keys = [unpack(b) for b in group.column("keys").to_pylist()]
+        keys = [unpack_ascending(b) for b in group.column("keys").to_pylist()]
         values = np.concatenate([unpack(b) for b in group.column("values").to_pylist()])
         sizes = [k.size for k in keys]
         every = np.concatenate(keys)
@@ -149,7 +166,7 @@ def answer(sent: DataFrame, name: str, least: bool = False, totals: Callable[[np
             own = news[at : at + size]
             if own.any():
                 out["block"].append(number)
-                out["keys"].append(pack(every[at : at + size][own]))
+                out["keys"].append(pack_ascending(every[at : at + size][own]))
                 out["values"].append(pack(total[at : at + size][own]))
             at += size
         if totals is not None:
@@ -161,28 +178,43 @@ def answer(sent: DataFrame, name: str, least: bool = False, totals: Callable[[np
     spark = sent.sparkSession
     path = fresh_path(spark, name)
     sent.groupBy("bucket").applyInArrow(merged, ANSWER).write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files just merged
+    let_go(spark)
     return spark.read.schema(ANSWER).parquet(path)
 
 
+def let_go(spark) -> None:
+    """Have Spark delete the shuffle files of finished steps before the next one needs room.
+
+    It does so when the driver's garbage is collected, which may else be long after.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def heard(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A block's answers, by ascending key."""
     if not answers.num_rows:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    keys = np.concatenate([unpack(b) for b in answers.column("keys").to_pylist()])
+    keys = np.concatenate([unpack_ascending(b) for b in answers.column("keys").to_pylist()])
     values = np.concatenate([unpack(b) for b in answers.column("values").to_pylist()])
     order = np.argsort(keys)
     return keys[order], values[order]
 
 
-def settle(keys: np.ndarray, values: np.ndarray, answers: pa.Table) -> np.ndarray:
-    """Own values, replaced where an answer came."""
+def replaced(keys: np.ndarray, values: np.ndarray, known: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Own values by ascending key, with the told ones in place."""
     out = values.copy()
-    known, told = heard(answers)
     out[np.searchsorted(keys, known)] = told
     return out
 
 
+def settle(keys: np.ndarray, values: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """Own values, replaced where an answer came."""
+    return replaced(keys, values, *heard(answers))
+
+
 def meet(table: DataFrame, answers: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
     """``use`` of every block with the answers to it."""
 

@@ -77,6 +77,21 @@ class _Tokens:
         return key[start], total, None
 
 
+class _Numbered:
+    """Distinct keys with their training counts, and the number of each token's key."""
+
+    def __init__(self, keys: np.ndarray, learn: np.ndarray) -> None:
+        order = np.argsort(keys)
+        ranked = keys[order]
+        head = np.ones(keys.size, dtype=bool)
+        head[1:] = ranked[1:] != ranked[:-1]
+        start = np.flatnonzero(head)
+        self.keys = ranked[start]
+        self.own = np.add.reduceat(learn[order].astype(np.uint64), start) if start.size else start.astype(np.uint64)
+        self.number = np.empty(keys.size, dtype=np.int64)
+        self.number[order] = np.cumsum(head) - 1
+
+
 def _totals(keys: np.ndarray, counts: np.ndarray) -> list[int]:
     """Training tokens, distinct ones, and training texts."""
     words = (keys & _TAG) == 0
@@ -85,20 +100,26 @@ def _totals(keys: np.ndarray, counts: np.ndarray) -> list[int]:
 
 
 class Automaton:
-    """The reachable part of the model for one block: weights by local word number."""
+    """The part of the model that a block's texts can reach: weights by local numbers.
+
+    The state after a token is the token's own, so all steps of a text are known at once and
+    a whole block is read in one pass over its tokens.
+    """
 
-    def __init__(self, root: np.ndarray, fail: np.ndarray, arcs: dict[int, float], start_fail: float) -> None:
-        self.root, self.fail, self.arcs, self.start_fail = root.tolist(), fail.tolist(), arcs, start_fail
-        self.size = len(self.root) + 1  # the start is the last state
+    def __init__(self, counts: np.ndarray, n_all: int, n_distinct: int, n_texts: int, pull: float) -> None:
+        self.pull = pull
+        self.p = (counts + 0.5) / (n_all + 0.5 * (n_distinct + 1))
+        self.root = np.log10(self.p)
+        #: by state; the last is the start of a text
+        self.mass = np.append(counts, n_texts) + pull
+        self.fail = math.log10(pull) - np.log10(self.mass)
 
-    def read(self, tokens: list[int]) -> float:
-        total, state, size = 0.0, self.size - 1, self.size
-        arcs, root, fail = self.arcs, self.root, self.fail + [self.start_fail]
-        for token in tokens:
-            weight = arcs.get(state * size + token)
-            total += weight if weight is not None else fail[state] + root[token]
-            state = token
-        return total
+    def read(self, token: np.ndarray, state: np.ndarray, together: np.ndarray) -> np.ndarray:
+        """Weight of each step: from ``state`` by ``token``, ``together`` counted in training."""
+        weight = self.fail[state] + self.root[token]
+        arc = np.flatnonzero(together > 0)
+        weight[arc] = np.log10((together[arc] + self.pull * self.p[token[arc]]) / self.mass[state[arc]])
+        return weight
 
 
 def score(docs: DataFrame, keep: Iterable[str] = ("doc_id",), learn: Column | None = None, pull: float = PULL) -> DataFrame:
@@ -118,28 +139,17 @@ def score(docs: DataFrame, keep: Iterable[str] = ("doc_id",), learn: Column | No
 
     def walked(block: pa.Table, told: pa.Table) -> pa.Table:
         tokens = _Tokens(block)
-        keys, own, _ = tokens.counts()
-        counts = exchange.settle(keys, own, told).astype(np.float64)
-        is_word = (keys & _TAG) == 0
-        words, c = keys[is_word], counts[is_word]
-        number = np.searchsorted(words, tokens.words)
-        p = (c + 0.5) / (n_all + 0.5 * (n_distinct + 1))
-        root = np.log10(p)
-        fail = math.log10(pull) - np.log10(c + pull)
-        size = words.size + 1
-        before = np.empty_like(number)
-        before[1:] = number[:-1]
-        before[tokens.first[:-1]] = size - 1
-        # one arc for each distinct pair of the block that training texts hold
-        place = np.searchsorted(keys, tokens.pairs)
-        seen = np.flatnonzero(counts[place] > 0)
-        arc = before[seen] * size + number[seen]
-        context = np.append(c, n_texts)[before[seen]]
-        weight = np.log10((counts[place[seen]] + pull * p[number[seen]]) / (context + pull))
-        model = Automaton(root, fail, dict(zip(arc.tolist(), weight.tolist())), math.log10(pull / (n_texts + pull)))
-        walk = number.tolist()
-        bounds = tokens.first.tolist()
-        scores = [model.read(walk[a:b]) for a, b in zip(bounds, bounds[1:])]
+        words, pairs = _Numbered(tokens.words, tokens.learn), _Numbered(tokens.pairs, tokens.learn)
+        known, news = exchange.heard(told)
+        tag = (known & _TAG) == 0
+        c = exchange.replaced(words.keys, words.own, known[tag], news[tag]).astype(np.float64)
+        together = exchange.replaced(pairs.keys, pairs.own, known[~tag], news[~tag]).astype(np.float64)
+        number = words.number
+        state = np.empty_like(number)
+        state[1:] = number[:-1]
+        state[tokens.first[:-1]] = c.size
+        model = Automaton(c, n_all, n_distinct, n_texts, pull)
+        scores = row_sums(model.read(number, state, together[pairs.number]), tokens.first)
         n = len(scores)
         return pa.table(
             [
@@ -147,8 +157,8 @@ def score(docs: DataFrame, keep: Iterable[str] = ("doc_id",), learn: Column | No
                 pa.array(np.diff(tokens.first)),
                 pa.array(row_sums((c[number] > 0).astype(np.int8), tokens.first)),
                 pa.array(np.full(n, n_all, dtype=np.int64)),
-                pa.array(row_sums(root[number], tokens.first)),
-                pa.array(scores, pa.float64()),
+                pa.array(row_sums(model.root[number], tokens.first)),
+                pa.array(scores),
             ],
             names=[f.name for f in fields],
         )
