@@ -26,11 +26,18 @@ def build_session(cores: str = "8", partitions: int = 8, app: str = "lectern") -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder the cluster shares; only a session that names none gets a local one."""
+    """Folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A local session that names none gets a folder of its own; a cluster must name one, since
+    its machines do not see each other's disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
@@ -50,22 +57,24 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few small files out to all cores before heavy row work.
+    """Deal the rows of a small table out to all cores before heavy row work.
 
-    A table of many files or splits is left as it is; at scale this adds no shuffle.
+    A table of as many splits as cores is left as it is; at scale this adds no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 4 * cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast if it has at most ``rows`` rows.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a table for broadcast if it has at most ``rows`` rows and ``size`` bytes (as JSON).
 
-    Counts up to that many rows (a job). A larger table is left to a shuffled join.
+    Runs a job: the table is written once, measured, and read back by the join, so that its
+    plan runs a single time. A larger table is left to a shuffled join.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    held = through_table(df, "side")
+    measured = held.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.count("*"), F.sum("n")).first()
+    return F.broadcast(held) if measured[0] <= rows and (measured[1] or 0) <= size else held

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.ordering import running_offset
 from lectern.functions.phonemes import text_to_phonemes
+from lectern.functions.session import through_table
 from lectern.functions.text import normalize_arabic, tokenize, word_ref
 
 
@@ -54,24 +55,21 @@ def document_frequency(words: DataFrame) -> DataFrame:
     return words.groupBy("norm").agg(F.count(F.lit(1)).alias("df"))
 
 
-def postings(words: DataFrame, max_hits: int = 500) -> DataFrame:
+def postings(words: DataFrame) -> DataFrame:
     """Every position of every word, with the word's frequency.
 
-    Arrays of positions are formed for words under ``max_hits`` only; the others stay
-    one row per position, so no row grows with the corpus.
+    Runs a job: the frequencies are a table, so that Spark can split the side of a frequent
+    word in the join.
     """
-    return words.select("norm", "global_pos").join(document_frequency(words), "norm")
+    return words.select("norm", "global_pos").join(through_table(document_frequency(words), "frequencies"), "norm")
 
 
-def rare_postings(words: DataFrame, max_hits: int = 500) -> DataFrame:
-    """Sorted position arrays of the words with fewer than ``max_hits`` hits."""
-    rare = document_frequency(words).filter(F.col("df") < max_hits)
+def posting_chunks(words: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """Sorted position arrays of every word, one per ``span`` positions of the corpus."""
     return (
-        words.select("norm", "global_pos").join(rare, "norm").groupBy("norm")
-        .agg(
-            F.min("df").alias("df"),
-            F.array_sort(F.collect_list("global_pos")).alias("positions"),
-        )
+        words.select("norm", F.floor(F.col("global_pos") / span).alias("chunk_no"), "global_pos")
+        .groupBy("norm", "chunk_no")
+        .agg(F.array_sort(F.collect_list("global_pos")).alias("positions"))
     )
 
 

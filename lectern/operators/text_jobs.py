@@ -137,8 +137,3 @@ def indel_words(asked: DataFrame, vocabulary: DataFrame, threshold: float = 0.8)
         indel_ratio("asked", "word").alias("ratio"),
         partial_ratio("asked", "word").alias("partial"),
     )
-
-
-def best_of(pairs: DataFrame, key: str, score: str, tie: str) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.col(score).desc(), tie))
-    return pairs.withColumn("_r", rank).filter("_r = 1").drop("_r")

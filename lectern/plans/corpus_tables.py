@@ -17,8 +17,15 @@ from lectern.sources import bindings
 _built: dict[tuple, tuple] = {}
 
 
+def _written(spark: SparkSession, sf_dir: str) -> int:
+    """When the source table was last written: a rewritten one is read anew."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, _written(spark, sf_dir), name)
     if key in _built:
         path, schema = _built[key]
         try:

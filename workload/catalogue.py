@@ -29,7 +29,7 @@ def _ranges(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    return table(spark, sf_dir, "events").select((F.col("event_id") % 604 + 1).alias("page")).distinct()
+    return table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("page")).distinct()
 
 
 def _chapters(spark, sf_dir):
@@ -61,7 +61,7 @@ def _plan_chapters(spark, sf_dir):
     """Each user's visited chapters in numeric order, capped by a goal."""
     goal = F.element_at(F.array(*[F.lit(g) for g in ("full-page", "half-page", "quarter-page", "other")]), (F.col("user_id") % 4 + 1).cast("int"))
     picked = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("plan_id"), (F.col("event_id") % 211).alias("sura_no"), cat.verses_per_day(goal).alias("cap")
+        F.col("user_id").alias("plan_id"), F.col("event_id").alias("sura_no"), cat.verses_per_day(goal).alias("cap")
     ).distinct()
     return picked.withColumn("seq", F.col("sura_no"))
 
@@ -79,7 +79,7 @@ QUERIES = {
     "page_verses": q(lambda v, k: cat.page_verses(v, k).select("id", "page", "aya_text"), corpus, _pages),
     "chapter_verses": q(lambda v, k: cat.chapter_verses(v, k).select("id", "sura_no", "aya_text"), corpus, _chapters),
     "part_verses": q(
-        lambda v, e: cat.part_verses(v, e.select((F.col("event_id") % 30 + 1).alias("jozz")).distinct()).select("id", "jozz", "aya_no"),
+        lambda v, e: cat.part_verses(v, e.select((F.col("event_id") + 1).alias("jozz")).distinct()).select("id", "jozz", "aya_no"),
         corpus, lambda s, d: table(s, d, "events"),
     ),
     "verse_by_ref": q(lambda v, r: cat.verse_by_ref(r, v).select("ref_id", "id", "page", "jozz", "aya_text"), corpus, _refs),
@@ -119,9 +119,9 @@ def _step(by):
 
 
 ORACLES = {
-    "page_verses": with_(VERSES, "SELECT id, page, aya_text FROM verses WHERE page IN (SELECT event_id % 604 + 1 FROM events)"),
+    "page_verses": with_(VERSES, "SELECT id, page, aya_text FROM verses WHERE page IN (SELECT event_id + 1 FROM events)"),
     "chapter_verses": with_(VERSES, "SELECT id, sura_no, aya_text FROM verses WHERE sura_no IN (SELECT doc_id FROM labels)"),
-    "part_verses": with_(VERSES, "SELECT id, jozz, aya_no FROM verses WHERE jozz IN (SELECT event_id % 30 + 1 FROM events)"),
+    "part_verses": with_(VERSES, "SELECT id, jozz, aya_no FROM verses WHERE jozz IN (SELECT event_id + 1 FROM events)"),
     "verse_by_ref": with_(REFS, "SELECT ref_id, id, page, jozz, aya_text FROM refs LEFT JOIN verses USING (sura_no, aya_no)"),
     "verse_by_id": with_(VERSES, "SELECT event_id AS id, sura_no, aya_no, page, aya_text FROM events LEFT JOIN verses ON id = event_id"),
     "page_of_ref": with_(REFS, "SELECT ref_id, page FROM refs LEFT JOIN verses USING (sura_no, aya_no)"),
@@ -161,7 +161,7 @@ found AS (SELECT query_id, id, sura_no, aya_no, page FROM asked JOIN verses ON c
     "group_verses_by_chapter": with_(ON_PAGE, "SELECT page, sura_no, n AS n_verses, start_aya, end_aya, start_aya = 1 AS has_header FROM on_page"),
     "group_chapters_by_goal": with_(
         f"""{CATALOGUE},
-picked AS (SELECT DISTINCT user_id AS plan_id, event_id % 211 AS sura_no, CASE user_id % 4 WHEN 0 THEN 15 WHEN 2 THEN 3 ELSE 7 END AS cap FROM events),
+picked AS (SELECT DISTINCT user_id AS plan_id, event_id AS sura_no, CASE user_id % 4 WHEN 0 THEN 15 WHEN 2 THEN 3 ELSE 7 END AS cap FROM events),
 sized AS (SELECT plan_id, p.sura_no, cap, n_verses, row_number() OVER (PARTITION BY plan_id ORDER BY p.sura_no) AS k FROM picked p JOIN chapters USING (sura_no)),
 pack(plan_id, k, sura_no, group_no, total) AS (
   SELECT plan_id, k, sura_no, CAST(1 AS BIGINT), n_verses FROM sized WHERE k = 1

@@ -42,10 +42,11 @@ def match_interim(spark, sf_dir):
 
 
 def match_word(spark, sf_dir):
-    """The last word of every chunk, sought from the chunk's beginning."""
-    asked = chunks(spark, sf_dir).filter(F.size("words") > 0).select(
-        F.concat_ws(":", F.col("session").cast("string"), F.col("chunk").cast("string")).alias("ask_id"),
-        "page", "pointer", F.element_at("words", -1).alias("word"),
+    """Every word of every chunk, sought from the chunk's beginning."""
+    asked = chunks(spark, sf_dir).select("session", "chunk", "page", "pointer", F.posexplode("words").alias("place", "word"))
+    asked = asked.select(
+        F.concat_ws(":", F.col("session").cast("string"), F.col("chunk").cast("string"), F.col("place").cast("string")).alias("ask_id"),
+        "page", "pointer", "word",
     )
     return matching.match_words(asked, corpus_words(spark, sf_dir))
 
@@ -253,8 +254,8 @@ ORACLES = {
     "match_chunk": with_(MATCHED, "SELECT session, chunk, page, pointer, ptr AS matched_up_to, score, coalesce(array_to_string(errors, ','), '') AS errors FROM matched", True),
     "match_interim": with_(f"{WORDS}, {heard_cte()}, {walk_cte(2, 0.45, 'chunk % 3')}", "SELECT session, chunk, page, ptr AS pointer FROM done", True),
     "match_word": with_(
-        f"{WORDS}, {heard_cte()}, asked AS (SELECT session, chunk, page, pointer, page_start, page_words, ws[-1] AS word FROM heard JOIN pages USING (page) WHERE len(ws) > 0), "
-        f"near AS (SELECT session || ':' || chunk AS ask_id, w.flat_index, {sim('word', 'w.norm')} AS s FROM (SELECT *, unnest(range(pointer, least(pointer + 8, page_words))) AS fi FROM asked) a JOIN words w ON w.page = a.page AND w.flat_index = a.fi)",
+        f"{WORDS}, {heard_cte()}, asked AS (SELECT session, chunk, page, pointer, page_start, page_words, unnest(ws) AS word, unnest(range(0, len(ws))) AS place FROM heard JOIN pages USING (page)), "
+        f"near AS (SELECT session || ':' || chunk || ':' || place AS ask_id, w.flat_index, {sim('word', 'w.norm')} AS s FROM (SELECT *, unnest(range(pointer, least(pointer + 8, page_words))) AS fi FROM asked) a JOIN words w ON w.page = a.page AND w.flat_index = a.fi)",
         "SELECT ask_id, flat_index AS matched_index, s AS score FROM near WHERE s >= 0.40 QUALIFY row_number() OVER (PARTITION BY ask_id ORDER BY s DESC, flat_index) = 1",
     ),
     "word_events": with_(EVENTS, "SELECT * FROM wev", True),

@@ -97,9 +97,9 @@ def word_at(spark, sf_dir):
     return index.word_at(asked, corpus_words(spark, sf_dir))
 
 
-def rare_postings(spark, sf_dir):
-    r = index.rare_postings(corpus_words(spark, sf_dir))
-    return r.select("norm", "df", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+def posting_chunks(spark, sf_dir):
+    r = index.posting_chunks(corpus_words(spark, sf_dir))
+    return r.select("norm", "chunk_no", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 QUERIES = {
@@ -116,7 +116,7 @@ QUERIES = {
     "word_index": lambda s, d: corpus_words(s, d),
     "page_word_index": lambda s, d: index.page_word_index(corpus_words(s, d)),
     "postings": lambda s, d: index.postings(corpus_words(s, d)),
-    "rare_postings": rare_postings,
+    "posting_chunks": posting_chunks,
     "chapter_ranges": lambda s, d: index.chapter_ranges(corpus_words(s, d)),
     "verse_ranges": lambda s, d: index.verse_ranges(corpus_words(s, d)),
     "chapter_verse_count": lambda s, d: index.chapter_verse_count(corpus_words(s, d)),
@@ -196,7 +196,7 @@ FROM events e LEFT JOIN starts a ON a.sura_no = user_id AND a.aya_no = 1 LEFT JO
     "word_index": with_(WORDS, "SELECT * FROM words"),
     "page_word_index": with_(WORDS, "SELECT page, flat_index, word_ref, text, norm FROM words"),
     "postings": with_(WORDS, "SELECT norm, global_pos, count(*) OVER (PARTITION BY norm) AS df FROM words"),
-    "rare_postings": with_(WORDS, "SELECT norm, count(*) AS df, string_agg(global_pos, ',' ORDER BY global_pos) AS positions FROM words GROUP BY norm HAVING count(*) < 500"),
+    "posting_chunks": with_(WORDS, "SELECT norm, global_pos // 65536 AS chunk_no, string_agg(global_pos, ',' ORDER BY global_pos) AS positions FROM words GROUP BY norm, global_pos // 65536"),
     "chapter_ranges": with_(WORDS, "SELECT sura_no, min(global_pos) AS start_pos, max(global_pos) AS end_pos FROM words GROUP BY ALL"),
     "verse_ranges": with_(WORDS, "SELECT sura_no, aya_no, min(global_pos) AS start_pos, max(global_pos) AS end_pos FROM words GROUP BY ALL"),
     "chapter_verse_count": with_(WORDS, "SELECT sura_no, count(DISTINCT aya_no) AS n_verses FROM words GROUP BY ALL"),
