@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.folds import ordered_fold
 from lectern.functions.ordering import with_neighbours
+from lectern.functions.text import parse_word_ref
 
 # --- fixed values -----------------------------------------------------------
 BOUNDARY_GAP = 0.3
@@ -66,6 +67,60 @@ def distribute_word_times(segments: DataFrame, words: DataFrame, keys: list[str]
     )
 
 
+def first_verses(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Verse that each segment begins in, by its first word; null outside the corpus."""
+    at = words.select(F.col("global_pos").alias("start_pos"), F.col("aya_no").alias("first_aya"))
+    return segments.join(at, "start_pos", "left").select("recording", "segment_idx", "time_start", "time_end", "first_aya")
+
+
+def verse_of_words(word_times: DataFrame, segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Timed words with the verse their reference names.
+
+    A word without reference belongs to the first verse of its segment; one whose reference
+    names no verse, and one of a segment that begins outside the corpus, is left out.
+    """
+    first = first_verses(segments, words).select("recording", "segment_idx", "first_aya")
+    named = word_times.drop("aya_no").join(first, ["recording", "segment_idx"], "left")
+    verse = F.when(F.col("word_ref") == "", F.col("first_aya")).otherwise(parse_word_ref(F.col("word_ref"))["aya_no"])
+    return named.withColumn("aya_no", verse).filter("aya_no IS NOT NULL").drop("first_aya")
+
+
+def bare_boundaries(segments: DataFrame, word_times: DataFrame, words: DataFrame) -> DataFrame:
+    """Whole segments as spans of the verses at both ends of those with too few named words.
+
+    Only segments of several verses with fewer than two words that carry a reference count;
+    the longest such segment stands for a verse.
+    """
+    at = words.select(F.col("global_pos").alias("end_pos"), F.col("aya_no").alias("last_aya"))
+    ends = segments.join(at, "end_pos", "left").select("recording", "segment_idx", "last_aya")
+    several = first_verses(segments, words).join(ends, ["recording", "segment_idx"]).filter("last_aya > first_aya")
+    named = word_times.filter("word_ref <> ''").groupBy("recording", "segment_idx").agg(F.count(F.lit(1)).alias("_n"))
+    few = several.join(named, ["recording", "segment_idx"]).filter("_n < 2")
+    sides = few.select("recording", "time_start", "time_end", F.explode(F.array("first_aya", "last_aya")).alias("aya_no"))
+    longest = F.max_by(F.struct("time_start", "time_end"), F.struct(F.col("time_end") - F.col("time_start"), -F.col("time_start")))
+    return sides.groupBy("recording", "aya_no").agg(longest.alias("s")).select(
+        "recording", "aya_no", F.col("s.time_start").alias("start"), F.col("s.time_end").alias("end")
+    )
+
+
+def words_of_interpolated(spans: DataFrame, expected: DataFrame, words: DataFrame) -> DataFrame:
+    """Word timings of interpolated verses: the verse's own words share its span.
+
+    ``expected`` names each recording's ``sura_no``. Verses that the corpus lacks get none.
+    """
+    places = words.groupBy("sura_no", "aya_no").agg(F.min("global_pos").alias("start_pos"), F.max("global_pos").alias("end_pos"))
+    asked = spans.filter("interpolated").join(expected.select("recording", "sura_no"), "recording").join(places, ["sura_no", "aya_no"])
+    asked = asked.select(
+        "recording", F.col("aya_no").alias("verse"), "start_pos", "end_pos",
+        F.col("start").alias("time_start"), F.col("end").alias("time_end"),
+    )
+    timed = distribute_word_times(asked, words, ["recording", "verse"])
+    return timed.select(
+        "recording", F.col("verse").alias("aya_no"), F.lit(None).cast("bigint").alias("segment_idx"),
+        F.col("global_pos").alias("at"), "word", "word_ref", "start", "end",
+    )
+
+
 def dedupe_word_refs(word_times: DataFrame) -> DataFrame:
     """Earliest timing of each word of a verse; words without reference all stay."""
     named = word_times.filter("word_ref <> ''")

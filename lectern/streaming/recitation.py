@@ -74,6 +74,8 @@ def tracking_step(strict: bool):
     def step(state, row):
         expected, out = row["expected"], []
         total = len(expected)
+        if not total:
+            return [(row["seq"], "page-unknown", None, None, None, None)]
         if state["began"] is None:
             state["began"] = float(row["seconds"])
         if row["kind"] == "correct":
@@ -124,7 +126,8 @@ def with_expected(transcripts: DataFrame, words: DataFrame, norm=normalize_arabi
     """Transcripts with normalised words and their page's expected words, in the JVM.
 
     ``transcripts`` is ``(session, page, seq, ts, kind, text, is_final)``; a page's words
-    travel with each row, a page being the unit a session recites.
+    travel with each row, a page being the unit a session recites. A page that the corpus
+    lacks has no words; its rows stay, and the tracker says so.
     """
     pages = words.groupBy("page").agg(
         F.array_sort(F.collect_list(F.struct("flat_index", "norm")))["norm"].alias("expected")
@@ -134,7 +137,7 @@ def with_expected(transcripts: DataFrame, words: DataFrame, norm=normalize_arabi
         F.col("ts").cast("double").alias("seconds"),
         F.transform(split_words(F.col("text")), norm).alias("words"),
     )
-    return heard.join(pages, "page")
+    return heard.join(pages, "page", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
 
 
 def track_recitation(transcripts: DataFrame, words: DataFrame, strict: bool = False) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lectern.functions.session import through_table
 from lectern.functions.text import normalize_segment, split_words
 from lectern.operators import align, index, locate, matching, openings, timing
-from lectern.plans.corpus_tables import _once, arabic_words, corpus_words
+from lectern.plans import alignment
+from lectern.plans.corpus_tables import _once, arabic_corpus, arabic_words, corpus_words
 from lectern.sources import bindings
 from lectern.sources.bindings import fold_accents, table
 from workload.base import ARABIC_WORDS, WORDS, norm_segment, sim, with_
@@ -173,6 +174,19 @@ def recording_verse_times(spark, sf_dir):
     return timing.repair_overlaps(timing.split_duplicate_spans(spans))
 
 
+def recording_alignment(spark, sf_dir):
+    """The whole way from transcript segments to alignment documents, by verse."""
+    words = arabic_words(spark, sf_dir)
+    rows = extended(spark, sf_dir).filter("kind = 'match'")
+    timed = align.aligned_word_times(extended(spark, sf_dir), words)
+    docs = alignment.recording_alignment(timed, rows.withColumn("sura_no", F.col("recording")), words, arabic_corpus(spark, sf_dir))
+    verse = docs.select("recording", "ayah_count", F.explode("ayahs").alias("v"))
+    return verse.select(
+        "recording", "ayah_count", F.col("v.aya_no").alias("aya_no"), F.col("v.start_time").alias("start_time"),
+        F.col("v.end_time").alias("end_time"), F.size("v.word_timings").cast("bigint").alias("n_words"),
+    )
+
+
 def locate_chapter(spark, sf_dir):
     """Documents sought among the benchmark passages, line by line."""
     heads = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(split_words(fold_accents(F.col("text")))).alias("pos", "text"))
@@ -201,6 +215,7 @@ QUERIES = {
     "align_recording": align_recording,
     "extend_trailing": extend_trailing,
     "recording_verse_times": recording_verse_times,
+    "recording_alignment": recording_alignment,
     "locate_chapter": locate_chapter,
 }
 
