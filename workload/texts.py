@@ -16,7 +16,7 @@ from lectern.functions import text as tx
 
 
 def phoneme_table(spark, sf_dir):
-    t = text_jobs.phoneme_table(arabic_words(spark, sf_dir))
+    t = arabic_words(spark, sf_dir)  # holds the phoneme table of the corpus
     return t.select("global_pos", "text", F.array_join("phonemes", " ").alias("phonemes"), "n_phonemes", "is_muqattaat")
 
 
@@ -26,11 +26,11 @@ def phoneme_table_web(spark, sf_dir):
 
 
 def flatten_phonemes(spark, sf_dir):
-    return text_jobs.phoneme_rows(text_jobs.phoneme_table(arabic_words(spark, sf_dir)))
+    return text_jobs.phoneme_rows(arabic_words(spark, sf_dir))
 
 
 def verse_phonemes(spark, sf_dir):
-    return text_jobs.verse_phonemes(text_jobs.phoneme_table(arabic_words(spark, sf_dir)))
+    return text_jobs.verse_phonemes(arabic_words(spark, sf_dir))
 
 
 def _asked_words(spark, sf_dir):
