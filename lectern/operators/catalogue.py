@@ -121,14 +121,17 @@ def _chapters_on_page(verses: DataFrame) -> DataFrame:
     )
 
 
+def _verse_list() -> Column:
+    return F.array_sort(F.collect_list(F.struct("id", "sura_no", "aya_no", "aya_text")))
+
+
 def page_info(verses: DataFrame) -> DataFrame:
-    """Per page: part of its first verse, verse count, its chapters in order.
+    """Per page: part of its first verse, its verses and chapters in order.
 
-    Verses are counted per chapter first; only one entry per chapter is collected.
-    The verses themselves are the rows of ``page_verses``.
+    A page is a few lines of print, so its verses fit a row.
     """
     first = verses.groupBy("page").agg(
-        F.min_by("jozz", "id").alias("jozz"), F.count(F.lit(1)).alias("n_verses")
+        F.min_by("jozz", "id").alias("jozz"), F.count(F.lit(1)).alias("n_verses"), _verse_list().alias("verses")
     )
     chapters = _chapters_on_page(verses).groupBy("page").agg(
         F.array_sort(F.collect_list(F.struct("first_id", "sura_no")))["sura_no"].alias("chapters")
@@ -275,10 +278,11 @@ def search_chapters(queries: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def group_verses_by_chapter(verses: DataFrame) -> DataFrame:
-    """Per page and chapter: verse span, count, and whether a header is due."""
-    return _chapters_on_page(verses).select(
+    """Per page and chapter: its verses in order, their span, and whether a header is due."""
+    lists = verses.groupBy("page", "sura_no").agg(_verse_list().alias("verses"))
+    return _chapters_on_page(verses).join(lists, ["page", "sura_no"]).select(
         "page", "sura_no", F.col("n").alias("n_verses"), "start_aya", "end_aya",
-        (F.col("start_aya") == 1).alias("has_header"),
+        (F.col("start_aya") == 1).alias("has_header"), "verses",
     )
 
 

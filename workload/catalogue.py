@@ -70,9 +70,16 @@ def q(fn, *args):
     return lambda spark, sf_dir: fn(*[a(spark, sf_dir) for a in args])
 
 
+def _listed(df):
+    """Verse lists as text: ids, and texts one after the other."""
+    ids = F.array_join(F.transform("verses", lambda v: v["id"].cast("string")), ",").alias("verse_ids")
+    texts = F.md5(F.array_join(F.transform("verses", lambda v: v["aya_text"]), "|")).alias("verse_texts")
+    return df.select("*", ids, texts).drop("verses")
+
+
 def page_info(spark, sf_dir):
-    info = cat.page_info(corpus(spark, sf_dir))
-    return info.select("page", "jozz", "n_verses", F.array_join(F.col("chapters").cast("array<string>"), ",").alias("chapters"))
+    info = _listed(cat.page_info(corpus(spark, sf_dir)))
+    return info.select("page", "jozz", "n_verses", "verse_ids", "verse_texts", F.array_join(F.col("chapters").cast("array<string>"), ",").alias("chapters"))
 
 
 QUERIES = {
@@ -102,12 +109,13 @@ QUERIES = {
     "part_index": q(cat.part_index, corpus),
     "search_verses": q(lambda v, a: cat.search_verses(a, v), corpus, _text_queries),
     "search_chapters": q(lambda v, a: cat.search_chapters(a, cat.chapter_catalogue(v)), corpus, _chapter_queries),
-    "group_verses_by_chapter": q(cat.group_verses_by_chapter, corpus),
+    "group_verses_by_chapter": q(lambda v: _listed(cat.group_verses_by_chapter(v)), corpus),
     "group_chapters_by_goal": q(lambda v, p: cat.group_chapters_by_goal(p, cat.chapter_catalogue(v)), corpus, _plan_chapters),
 }
 
 REFS = f"{VERSES}, refs AS (SELECT event_id AS ref_id, user_id AS sura_no, event_id % 12 + 1 AS aya_no FROM events)"
 ON_PAGE = f"{VERSES}, on_page AS (SELECT page, sura_no, count(*) AS n, min(id) AS first_id, arg_min(aya_no, id) AS start_aya, arg_max(aya_no, id) AS end_aya FROM verses GROUP BY page, sura_no)"
+LISTED = "string_agg(id, ',' ORDER BY id) AS verse_ids, md5(string_agg(aya_text, '|' ORDER BY id)) AS verse_texts"
 PRIMARY = f"{ON_PAGE}, prim AS (SELECT * FROM on_page QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, first_id) = 1)"
 MEDINAN = ", ".join(str(c) for c in cat.MEDINAN_CHAPTERS)
 CATALOGUE = f"{VERSES}, chapters AS (SELECT sura_no, arg_min(sura_name_ar, id) AS name_ar, arg_min(sura_name_en, id) AS name_en, CASE WHEN sura_no IN ({MEDINAN}) THEN 'Medinan' ELSE 'Meccan' END AS revelation_type, count(*) AS n_verses FROM verses GROUP BY sura_no)"
@@ -135,7 +143,7 @@ ORACLES = {
     "total_pages": with_(VERSES, "SELECT max(page) AS total_pages FROM verses"),
     "page_info": with_(
         ON_PAGE,
-        "SELECT page, jozz, n_verses, chapters FROM (SELECT page, arg_min(jozz, id) AS jozz, count(*) AS n_verses FROM verses GROUP BY page) "
+        f"SELECT page, jozz, n_verses, chapters, verse_ids, verse_texts FROM (SELECT page, arg_min(jozz, id) AS jozz, count(*) AS n_verses, {LISTED} FROM verses GROUP BY page) "
         "JOIN (SELECT page, string_agg(sura_no, ',' ORDER BY first_id) AS chapters FROM on_page GROUP BY page) USING (page)",
     ),
     "page_primary_chapter": with_(PRIMARY, "SELECT page, sura_no FROM prim"),
@@ -158,7 +166,11 @@ found AS (SELECT query_id, id, sura_no, aya_no, page FROM asked JOIN verses ON c
         f"{CATALOGUE}, asked AS (SELECT item_id, unnest(['SRC' || (item_id % 20), 'S' || item_id]) AS query FROM benchmark)",
         "SELECT DISTINCT item_id || '/' || query AS query_id, sura_no FROM asked JOIN chapters ON contains(name_ar, query) OR contains(lower(name_en), lower(query))",
     ),
-    "group_verses_by_chapter": with_(ON_PAGE, "SELECT page, sura_no, n AS n_verses, start_aya, end_aya, start_aya = 1 AS has_header FROM on_page"),
+    "group_verses_by_chapter": with_(
+        ON_PAGE,
+        f"SELECT page, sura_no, n AS n_verses, start_aya, end_aya, start_aya = 1 AS has_header, verse_ids, verse_texts FROM on_page "
+        f"JOIN (SELECT page, sura_no, {LISTED} FROM verses GROUP BY page, sura_no) USING (page, sura_no)",
+    ),
     "group_chapters_by_goal": with_(
         f"""{CATALOGUE},
 picked AS (SELECT DISTINCT user_id AS plan_id, event_id AS sura_no, CASE user_id % 4 WHEN 0 THEN 15 WHEN 2 THEN 3 ELSE 7 END AS cap FROM events),
