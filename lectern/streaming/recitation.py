@@ -10,7 +10,7 @@ from lectern.functions.text import normalize_arabic, split_words
 from lectern.operators.matching import (
     CHUNK_SIMILARITY, CHUNK_WINDOW, INTERIM_SIMILARITY, INTERIM_WINDOW,
 )
-from lectern.streaming.folds import fold_stream
+from lectern.streaming.folds import fold_late_stream, fold_stream
 
 STATE = "pointer long, consumed long, paused boolean, n_errors long, done boolean, began double"
 EVENTS = "seq long, type string, flat_index long, correct_words long, total_words long, duration double"
@@ -140,12 +140,16 @@ def with_expected(transcripts: DataFrame, words: DataFrame, norm=normalize_arabi
     return heard.join(pages, "page", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
 
 
-def track_recitation(transcripts: DataFrame, words: DataFrame, strict: bool = False) -> DataFrame:
+def track_recitation(transcripts: DataFrame, words: DataFrame, strict: bool = False, lateness: str | None = None) -> DataFrame:
     """Word events of every session, from a stream or from a table of transcripts.
 
-    Each session's rows are folded in order of ``seq``.
+    Each session's rows are folded in order of ``seq``. With ``lateness`` (such as ``10
+    seconds``) the rows of a stream may arrive out of order by that much.
     """
     rows = with_expected(transcripts, words)
+    if transcripts.isStreaming and lateness is not None:
+        rows = rows.withColumn("at", F.timestamp_millis((F.col("seconds") * 1000).cast("bigint")))
+        return fold_late_stream(rows, ["session"], "seq", start_tracking, tracking_step(strict), STATE, EVENTS, "at", lateness)
     if transcripts.isStreaming:
         return fold_stream(rows, ["session"], "seq", start_tracking, tracking_step(strict), STATE, EVENTS)
     return ordered_fold(rows, ["session"], ["seq"], start_tracking, tracking_step(strict), EVENTS)

@@ -26,6 +26,30 @@ def test_tracking_equals_its_table(spark, small_dir):
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def test_out_of_order_rows_give_the_tables_events(spark):
+    corpus = spark.createDataFrame([(1, k, w) for k, w in enumerate("one two three four five six".split())], "page long, flat_index long, norm string")
+    said = [
+        ("a", 1, 1, 1.0, "one"), ("a", 1, 3, 3.0, "three"), ("b", 1, 1, 1.5, "two"), ("a", 1, 2, 2.0, "two"),
+        ("b", 1, 2, 4.0, "four"), ("a", 1, 4, 4.5, "five six"), ("c", 9, 1, 3.0, "lost"),
+    ]
+    last = [("z", 1, 1, 1000.0, "one"), ("z", 1, 2, 2000.0, "two")]  # moves the watermark past all others
+    schema = "session string, page long, seq long, ts double, kind string, text string, is_final boolean"
+    table = lambda rows: spark.createDataFrame([(s, p, n, t, "asr", w, True) for s, p, n, t, w in rows], schema)
+    want = recitation.track_recitation(table(said), corpus)
+    seen = []
+    for deal in ([said[:2], said[2:5], said[5:]], [said[1::2], said[0::2]], [said[::-1]]):
+        path = fresh_path(spark, "late")
+        for rows in [*deal, last[:1], last[1:]]:
+            table(rows).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        got = run_to_table(recitation.track_recitation(stream, corpus, lateness="30 seconds"), "late")
+        got = got.filter("session <> 'z'")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        seen.append(got.count())
+    assert len(set(seen)) == 1 and seen[0] > 4
+    assert not want.filter("session = 'c'").isEmpty()
+
+
 def step_through(rows, strict):
     state, out = recitation.start_tracking(), []
     step = recitation.tracking_step(strict)
