@@ -8,10 +8,11 @@ banded; texts that share a band are compared, and a pair of weighted Jaccard sim
 ``SIMILARITY`` or more is a link. Classes are the components of the links.
 
 Equal texts are one node from the start. In a bucket of texts that share a band, all meet a
-leader first; those found similar to it already are in one class with it, and only the rest
-meets everybody. So a bucket of thousands of copies costs one comparison each, and no pair of
-texts from different classes goes uncompared. Comparisons are joins on the bucket (split by
-Spark where a bucket is large) and first look at the samples, then at the exact sets.
+leader first: one comparison each, which joins most of a group of copies. Then every pair of
+texts of one bucket that is still in two classes is compared, in blocks of ``BLOCK`` by
+``BLOCK`` texts dealt over all tasks: samples first, and where these allow it the exact sets;
+only links that join two classes leave a task. So no pair of texts that share a band goes
+uncompared, no pair is ever a row, and a task holds two blocks at most.
 
 The inverse document frequency is damped to between ``FLOOR`` and 1: it sets common
 boilerplate back without letting the copies of a large group, whose shingles are all frequent,
@@ -49,6 +50,8 @@ SAMPLES = BANDS * BAND_SAMPLES
 #: agreeing samples below which a pair of similarity 0.8 falls once in a million times
 LIKELY = 33
 FLOOR = 0.75
+#: texts of a bucket that one task compares with as many others
+BLOCK = 256
 _DRAWS = 1 << 16
 _AT_ONCE = 1 << 15
 
@@ -178,9 +181,7 @@ def classes(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> Classes:
     nodes = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min(_order()).alias("least"))
     nodes = through_table(nodes, "nodes")
     sketches = through_table(drawn.join(nodes.select("row"), "row").select("row", "total", "sketch"), "sketches")
-    links = _links(table, heard, n_docs, sketches)
-
-    roots = components(links)
+    roots = _roots(table, heard, n_docs, sketches)
     rooted = nodes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", "least", F.coalesce("root", "row").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     named = through_table(rooted.join(best, "root").select("digest", "best"), "classes")
@@ -231,31 +232,81 @@ def _drawn(table: DataFrame, heard: DataFrame, n_docs: int) -> DataFrame:
     return exchange.meet(table, heard, drawn, schema)
 
 
-def _links(table: DataFrame, heard: DataFrame, n_docs: int, sketches: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of nodes."""
+def _roots(table: DataFrame, heard: DataFrame, n_docs: int, sketches: DataFrame) -> DataFrame:
+    """node and root of every node that has a link."""
     band = lambda k: F.xxhash64(F.lit(k), *[F.col("sketch")[k * BAND_SAMPLES + j] for j in range(BAND_SAMPLES)])
-    banded = sketches.select("row", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("bucket"))
+    banded = sketches.select("row", F.posexplode(F.array(*[band(k) for k in range(BANDS)])).alias("band", "bucket"))
     led = banded.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row", "bucket").alias("p"), "row"))["row"].alias("leader")
     )
-    led = led.where("n > 1").select("bucket", "leader")
+    led = led.where("n > 1").select("bucket", "n", "leader")
     members = through_table(banded.join(led, "bucket"), "buckets")
     sets = through_table(_sets(table, heard, n_docs, members.select("row").distinct()), "sets")
 
-    described = sketches.select("row", "total", "sketch")
     first = members.where("row <> leader").select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct()
-    side = lambda c: described.select(*[F.col(n).alias(f"{c}_{n}" if n != "row" else c) for n in described.columns])
+    side = lambda c: sketches.select(*[F.col(n).alias(f"{c}_{n}" if n != "row" else c) for n in sketches.columns])
     first = first.join(side("a"), "a").join(side("b"), "b").where(_alike()).select("a", "b")
-    links = through_table(_verified(first, sets), "links")
-
-    # who is not yet with its bucket's leader meets everybody there
-    near = links.select(F.col("a").alias("row"), F.col("b").alias("leader"), F.lit(True).alias("linked"))
-    rest = members.where("row <> leader").join(near, ["row", "leader"], "left").where("linked is null")
-    rest = rest.select("bucket", F.col("row").alias("a"), "leader").join(side("a"), "a")
-    others = members.select("bucket", F.col("row").alias("b")).join(side("b"), "b")
-    met = rest.join(others, "bucket").where("a <> b and b <> leader").where(_alike())
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionByName(through_table(_verified(met, sets), "links"))
+    roots = components(through_table(_verified(first, sets), "links"))
+
+    # buckets that still hold two classes, besides those of a leader and one other
+    placed = members.join(roots.withColumnRenamed("node", "row"), "row", "left").select(
+        "bucket", "band", "n", "row", F.coalesce("root", "row").alias("root")
+    )
+    placed = through_table(placed.where("n > 2"), "placed")
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    parts = F.ceil(F.col("n") / BLOCK)
+    work = placed.join(open_, "bucket").select("bucket", "band", "row", "root", parts.alias("parts"), F.pmod(F.xxhash64("row"), parts).alias("part"))
+    work = work.join(sketches, "row").join(sets, "row")
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    work = work.select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).drop("parts", "other")
+    joined = through_table(work.groupBy("bucket", "i", "j").applyInArrow(_joining, "a long, b long"), "joining")
+    merged = components(joined)
+    onward = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = roots.join(onward, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(merged.join(roots.select("node"), "node", "left_anti"))
+
+
+def _joining(block: pa.Table) -> pa.Table:
+    """Links of a bucket's two blocks between texts of different classes, each pair of classes once."""
+    block = block.sort_by("row").combine_chunks()
+    column = lambda name: block.column(name).to_numpy()
+    part, root, total = column("part"), column("root"), column("total")
+    band, diagonal = int(block.column("band")[0].as_py()), block.column("i")[0].as_py() == block.column("j")[0].as_py()
+    sketch = block.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+    left = np.flatnonzero(part == block.column("i")[0].as_py())
+    right = left if diagonal else np.flatnonzero(part != block.column("i")[0].as_py())
+    agree = np.zeros((left.size, right.size), dtype=np.uint8)
+    before = np.zeros(agree.shape, dtype=bool)
+    for k in range(BANDS):
+        shared = np.ones(agree.shape, dtype=bool)
+        for column_ in range(k * BAND_SAMPLES, (k + 1) * BAND_SAMPLES):
+            same = sketch[left, column_][:, None] == sketch[right, column_][None, :]
+            agree += same
+            shared &= same
+        if k < band:  # such a pair is compared in the bucket of that band
+            before |= shared
+    low = np.minimum(total[left][:, None], total[right][None, :])
+    high = np.maximum(total[left][:, None], total[right][None, :])
+    good = (agree >= LIKELY) & ~before & (low >= (SIMILARITY - 1e-6) * high) & (root[left][:, None] != root[right][None, :])
+    if diagonal:
+        good &= np.triu(np.ones(good.shape, dtype=bool), 1)
+    keys = [np.frombuffer(x, dtype="<u4") for x in block.column("keys").to_pylist()]
+    weights = [np.frombuffer(x, dtype="<f4") for x in block.column("weights").to_pylist()]
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    links = []
+    for x, y in zip(*(v.tolist() for v in np.nonzero(good))):
+        a, b = int(left[x]), int(right[y])
+        p, q = top(int(root[a])), top(int(root[b]))
+        if p != q and similarity(keys[a], weights[a], keys[b], weights[b]) >= SIMILARITY:
+            above[max(p, q)] = min(p, q)
+            links.append((int(root[a]), int(root[b])))
+    return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
 
 def _alike():
