@@ -94,7 +94,9 @@ def blocks(docs: DataFrame, keep: Iterable[str], name: str, extra: dict[str, Col
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     writer = rows.mapInArrow(dealt, schema).write.format("parquet").bucketBy(parts, "block").option("compression", "zstd")
     writer.option("path", fresh_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    made = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog forgets the name; files and buckets stay
+    return made
 
 
 def in_order(group: pa.Table) -> pa.Table:

@@ -49,7 +49,7 @@ BAND_SAMPLES = 4
 SAMPLES = BANDS * BAND_SAMPLES
 #: agreeing samples below which a pair of similarity 0.8 falls once in a million times
 LIKELY = 33
-FLOOR = 0.75
+FLOOR = 0.9
 #: texts of a bucket that one task compares with as many others
 BLOCK = 256
 _DRAWS = 1 << 16

@@ -173,8 +173,8 @@ def score(docs: DataFrame, model: Discriminant, keep: Iterable[str] = ("doc_id",
 
 
 def held_out(divisor: int) -> Column:
-    """Whether crc32 of the doc_id as text leaves remainder 1."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == 1
+    """Whether crc32 of the doc_id as text leaves remainder 1; a null doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == 1, F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: Iterable[str] = ("doc_id",), divisor: int = 3) -> DataFrame:
