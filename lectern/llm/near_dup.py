@@ -18,8 +18,9 @@ The inverse document frequency is damped to between ``FLOOR`` and 1: it sets com
 boilerplate back without letting the copies of a large group, whose shingles are all frequent,
 drift apart. In the exact comparison shingles are told apart by 32 bits.
 
-Cases: a text of one to four words has one shingle, all its words; a null text, or one without
-words, is a class of its own; repeated rows are copies of each other, whatever their doc_id;
+Cases: a text of one to four words has one shingle, all its words; a text without words but
+with a visible character is near its exact copies only; a null or blank text is a class of its
+own; repeated rows are copies of each other, whatever their doc_id;
 the smallest doc_id of a class (null last, then the first row) is its class_id and is kept; an
 empty table gives no rows; columns of any name are carried in ``doc``.
 """
@@ -180,7 +181,8 @@ def classes(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> Classes:
     copies = drawn.where("digest is not null")
     nodes = copies.groupBy("digest").agg(F.min("row").alias("row"), F.min(_order()).alias("least"))
     nodes = through_table(nodes, "nodes")
-    sketches = through_table(drawn.join(nodes.select("row"), "row").select("row", "total", "sketch"), "sketches")
+    sketches = drawn.where("sketch is not null").join(nodes.select("row"), "row").select("row", "total", "sketch")
+    sketches = through_table(sketches, "sketches")
     roots = _roots(table, heard, n_docs, sketches)
     rooted = nodes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("digest", "least", F.coalesce("root", "row").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
@@ -201,7 +203,7 @@ def _rows(block: pa.Table) -> np.ndarray:
 
 
 def _drawn(table: DataFrame, heard: DataFrame, n_docs: int) -> DataFrame:
-    """row, id, digest of the text, total weight and samples of every row; null without words."""
+    """row, id, digest of the text (null if blank), total weight and samples (null without words) of every row."""
     schema = "row long, id long, digest binary, total double, sketch array<int>"
 
     def drawn(block: pa.Table, told: pa.Table) -> pa.Table:
@@ -213,8 +215,8 @@ def _drawn(table: DataFrame, heard: DataFrame, n_docs: int) -> DataFrame:
         np.cumsum(weight, out=total[1:])
         data, offsets = text_bytes(block.column("text"))
         body = data.tobytes()
-        spans = zip(offsets[:-1].tolist(), offsets[1:].tolist(), some.tolist())
-        digest = [hashlib.md5(body[a:b]).digest() if s else None for a, b, s in spans]
+        spans = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+        digest = [hashlib.md5(body[a:b]).digest() if body[a:b].strip() else None for a, b in spans]
         sketch: list = [None] * some.size
         for n, row in zip(np.flatnonzero(some).tolist(), made):
             sketch[n] = row

@@ -44,6 +44,10 @@ def _brute(texts):
             if common / (sum(s.values()) + sum(sets[m].values()) - common) >= nd.SIMILARITY:
                 a, b = find(n), find(m)
                 root[max(a, b)] = min(a, b)
+    wordless = {}
+    for n, (_, text) in enumerate(texts):
+        if not sets[n] and (text or "").strip():
+            root[n] = wordless.setdefault(text, n)
     order = lambda n: (texts[n][0] is None, texts[n][0] or 0)
     least = {}
     for n in range(len(texts)):
@@ -72,7 +76,7 @@ def test_cases_and_a_large_group_of_near_copies(spark):
         for _ in range(rng.randrange(1, 4)):
             words[rng.randrange(300)] = f"edit{rng.randrange(10**6)}"
         texts.append((100 + n, " ".join(words)))
-    texts += [(300, " ".join(base)), (301, " ".join(base).upper()), (302, " ".join(base[:150])), (303, "short text"), (304, "Short, text")]
+    texts += [(300, " ".join(base)), (301, " ".join(base).upper()), (302, " ".join(base[:150])), (303, "short text"), (304, "Short, text"), (305, "###"), (306, "!!"), (307, " ")]
     docs = frame(spark, texts).repartition(3)
     found = nd.classes(docs, keep=[c for c in docs.columns if c != "text"])
     assert _pairs(found.members) == sorted(_brute(texts), key=str)
