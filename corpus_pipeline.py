@@ -50,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = packing.pack(docs, keep=("doc_id",))
+    placed = packing.pack(docs, keep=("doc_id",), added_tokens=True)
     return placed.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

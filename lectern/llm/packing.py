@@ -12,7 +12,9 @@ arrive first, which leaves the short ones to fill gaps.
 
 Ids equal those of ``tokenizers`` with the named vocabulary. Text of the scripts below
 U+0530 is encoded by ``tiktoken`` from the same ranks, several times faster; all other text
-by ``tokenizers`` itself.
+by ``tokenizers`` itself. With ``added_tokens`` the string of an added token of the vocabulary
+(``<|endoftext|>``) stands for that token, as in a plain call of ``tokenizers``, which then
+encodes the texts that hold one; without, the string is text like any other.
 
 Cases: a null or empty text gives one piece, the end id alone; an exact multiple of the
 sequence length gives full pieces only; repeated rows are packed each for itself; an empty
@@ -44,13 +46,14 @@ _BEYOND = 0xD5
 class Encoder:
     """Byte-level BPE of a public vocabulary, given as file names of ``public_tokenizers``."""
 
-    def __init__(self, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> None:
+    def __init__(self, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", added_tokens: bool = False) -> None:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(public_tokenizers.path(model))
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()] if added_tokens else []
         with open(public_tokenizers.path(ranks), "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -62,7 +65,7 @@ class Encoder:
             text = body.tobytes().decode("utf-8")
             if not text:
                 ids = []
-            elif int(body.max()) < _BEYOND:
+            elif int(body.max()) < _BEYOND and not any(a in text for a in self.added):
                 ids = self.fast.encode_ordinary(text)
             else:
                 ids = self.slow.encode(text, add_special_tokens=False).ids
@@ -124,6 +127,7 @@ def pack(
     with_ids: bool = False,
     model: str = "byte_bpe_50k.json",
     ranks: str = "byte_bpe_50k.tiktoken",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc`` (struct of ``keep``), piece, start, length, ids_crc32,
     sequence_id, offset, and the ids themselves if asked for."""
@@ -134,7 +138,7 @@ def pack(
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, ranks)
+        encoder = Encoder(model, ranks, added_tokens)
         bins = BestFit(size, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for part in pieces(batch, target=8 << 20):

@@ -114,7 +114,7 @@ FROM d
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = packing.pack(_table(spark, sf_dir, "documents"), keep=("doc_id",))
+    placed = packing.pack(_table(spark, sf_dir, "documents"), keep=("doc_id",), added_tokens=True)
     return placed.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
