@@ -76,6 +76,14 @@ def reveal_state(spark, sf_dir):
     return matching.reveal_state(s.drop("errors"), errors, corpus_words(spark, sf_dir))
 
 
+def reveal_states(spark, sf_dir):
+    """State of every document's recitation of every page, after all its chunks."""
+    heard = _paged(matches(spark, sf_dir))
+    s = heard.groupBy("session", "page").agg(F.max("matched_up_to").alias("pointer")).withColumn("paused_at", F.lit(None).cast("bigint"))
+    errors = heard.select("session", F.explode("errors").alias("flat_index"))
+    return matching.reveal_state(s, errors, corpus_words(spark, sf_dir))
+
+
 def partial_basmala(spark, sf_dir):
     form = normalize_segment(F.col("text"))
     return segments(spark, sf_dir).select("recording", "segment_idx", openings.partial_basmala(form).alias("partial"))
@@ -203,6 +211,7 @@ QUERIES = {
     "word_events": word_events,
     "recitation_result": recitation_result,
     "reveal_state": reveal_state,
+    "reveal_states": reveal_states,
     "partial_basmala": partial_basmala,
     "detect_special": detect_special,
     "classify_first_segments": classify_first_segments,
@@ -286,6 +295,10 @@ fin AS (SELECT *, CASE WHEN complete THEN total_words - n_errors ELSE greatest(r
         f"{MATCHED}, st AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY page ORDER BY session, chunk) = 1)",
         "SELECT session || '/' || st.page AS session, w.flat_index, word_ref, w.flat_index < ptr AS revealed, list_contains(errors, w.flat_index) AS is_error, w.flat_index = ptr AS is_current, ptr * 100.0::DOUBLE / page_words AS progress FROM st JOIN words w ON w.page = st.page", True,
     ),
+    "reveal_states": with_(
+        f"{MATCHED}, st AS (SELECT session, page, page_words, max(ptr) AS ptr, flatten(list(errors)) AS errors FROM matched GROUP BY session, page, page_words)",
+        "SELECT session || '/' || st.page AS session, w.flat_index, word_ref, w.flat_index < ptr AS revealed, list_contains(errors, w.flat_index) AS is_error, w.flat_index = ptr AS is_current, ptr * 100.0::DOUBLE / page_words AS progress FROM st JOIN words w ON w.page = st.page", True,
+    ),
     "partial_basmala": with_(SEGMENTS, "SELECT recording, segment_idx, " + " + ".join(f"contains({FORM}, '{w}')::INTEGER" for w in openings.OPENING_WORDS) + " >= 2 AS partial FROM segs"),
     "adjust_segment_times": with_(ADJUST, f"SELECT recording, segment_idx, {r3('s')} AS new_start, {r3('greatest(s + 0.1::DOUBLE, t1)')} AS new_end FROM adj"),
 }
