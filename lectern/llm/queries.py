@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.session import fresh_path
-from lectern.llm import decontaminate, language_id, license_scan, lm_score, near_dup, packing, quality_qda, quality_rules, substring_dedup, warc
+from lectern.llm import (
+    decontaminate,
+    language_id,
+    license_scan,
+    lm_score,
+    near_dup,
+    packing,
+    quality_qda,
+    quality_rules,
+    substring_dedup,
+    warc,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +141,11 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.members.select("doc_id", "class_id", "kept")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), keep=("vec_id",))
+    return found.select("doc.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -140,6 +157,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_dup": op10_near_dup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
