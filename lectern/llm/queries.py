@@ -11,6 +11,7 @@ from lectern.llm import (
     language_id,
     license_scan,
     lm_score,
+    manifest,
     near_dup,
     packing,
     quality_qda,
@@ -141,6 +142,61 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.members.select("doc_id", "class_id", "kept")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = manifest.build(_table(spark, sf_dir, "documents"), tampered=tampered)
+    return made.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE
+table_of AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs),
+fields AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree, n_chars,
+    list_transform([doc_id::VARCHAR, source, lang], lambda x: coalesce(strlen(x) || ':' || x, '-')) AS before,
+    coalesce(strlen(text) || ':' || text, '-') AS last,
+    list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS digits
+  FROM documents),
+made AS (
+  SELECT doc_id, tree,
+    sha256(array_to_string(before, '') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || last) AS leaf,
+    sha256(array_to_string(before, '') || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || last) AS other,
+    xor(list_reduce(list_prepend(4294967295, digits), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS bad
+  FROM fields, table_of),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM made),
+up(tree, lvl, i, h, n) AS (
+  SELECT tree, 0, i, leaf, n FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY tree, lvl, i // 2, n),
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, i, h, n) AS (
+  SELECT 0, i, h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+root AS (SELECT h FROM top WHERE n = 1),
+own AS (
+  SELECT l.tree, l.i, v.lvl AS k, CASE WHEN s.h IS NULL THEN 'N' WHEN s.i < l.i >> v.lvl THEN 'L' ELSE 'R' END AS side, s.h
+  FROM leaves l JOIN (SELECT DISTINCT tree, lvl FROM up WHERE n > 1) v USING (tree)
+  LEFT JOIN up s ON s.tree = l.tree AND s.lvl = v.lvl AND s.i = xor(l.i >> v.lvl, 1)),
+shared AS (
+  SELECT r.tree, 1000 + v.lvl AS k, CASE WHEN s.h IS NULL THEN 'N' WHEN s.i < r.i >> v.lvl THEN 'L' ELSE 'R' END AS side, s.h
+  FROM subroots r CROSS JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) v
+  LEFT JOIN top s ON s.lvl = v.lvl AND s.i = xor(r.i >> v.lvl, 1)),
+steps AS (
+  SELECT tree, i, k, side, h FROM own
+  UNION ALL
+  SELECT l.tree, l.i, k, side, h FROM leaves l JOIN shared USING (tree)),
+paths AS (
+  SELECT tree, i, list(side || coalesce(h, '') ORDER BY k) AS path, coalesce(string_agg(h, '' ORDER BY k), '') AS told FROM steps GROUP BY tree, i),
+done AS (
+  SELECT l.doc_id, l.leaf, r.h AS subroot, root.h AS root, sha256(coalesce(told, '')) AS proof_sha256,
+    list_reduce(list_prepend(CASE WHEN bad THEN other ELSE leaf END, coalesce(path, [])), lambda a, e: CASE e[1] WHEN 'L' THEN sha256(substr(e, 2) || a) WHEN 'R' THEN sha256(a || substr(e, 2)) ELSE sha256(a) END) AS folded_root
+  FROM leaves l LEFT JOIN paths p ON p.tree = l.tree AND p.i = l.i JOIN subroots r ON r.tree = l.tree CROSS JOIN root)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(_table(spark, sf_dir, "embeddings"), keep=("vec_id",))
     return found.select("doc.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
@@ -157,10 +213,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_dup": op10_near_dup,
+    "op12_manifest": op12_manifest,
     "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
+    "op12_manifest": OP12_SQL,
     "op7_warc": OP7_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op2_decontamination": OP2_SQL,
