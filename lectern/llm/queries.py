@@ -17,6 +17,7 @@ from lectern.llm import (
     quality_qda,
     quality_rules,
     substring_dedup,
+    token_counts,
     warc,
     whitening,
 )
@@ -142,6 +143,11 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.members.select("doc_id", "class_id", "kept")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count(_table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return found.select("doc.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     made = manifest.build(_table(spark, sf_dir, "documents"), tampered=tampered)
@@ -213,6 +219,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_dup": op10_near_dup,
+    "op11_token_counts": op11_token_counts,
     "op12_manifest": op12_manifest,
     "op13_whitening": op13_whitening,
 }
