@@ -5,45 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.ordering import running_offset
 from lectern.functions.phonemes import text_to_phonemes
 from lectern.functions.session import through_table
-from lectern.functions.text import normalize_arabic, tokenize, word_ref
+from lectern.functions.text import normalize_arabic
+from lectern.operators.packed import Corpus, packed_verses
 
 
 def word_index(verses: DataFrame, norm=normalize_arabic, need_space: bool = False) -> DataFrame:
     """One row per word with its 0-based position in the corpus and on its page.
 
-    Verse ids are dense, so the running offsets spread evenly even if one chapter
-    holds most of the corpus. Only ``(id, page, word count)`` is summed up; the text
-    crosses the network once. Pages follow verse order.
+    A view of the packed verses: only ``(id, page, word count)`` is summed up, and the text
+    crosses the network once, in arrays.
     """
-    words = tokenize(F.col("aya_text"), need_space)
-    sizes = verses.select("id", "page", F.size(words).alias("n"))
-    starts = running_offset(sizes, "id", "n", "start")
-    page_starts = (
-        sizes.select("id", "page").join(starts, "id").groupBy("page")
-        .agg(F.min("start").alias("page_start"))
-    )
-    rows = (
-        verses.join(starts, "id")
-        .join(page_starts, "page")
-        .select(
-            "id", "page", "sura_no", "aya_no", "sura_name_en", "start", "page_start",
-            F.posexplode(words).alias("pos", "text"),
-        )
-    )
-    at = F.col("start") + F.col("pos")
-    word_no = (F.col("pos") + 1).cast("bigint")
-    return rows.select(
-        at.alias("global_pos"),
-        "id", "page", "sura_no", "aya_no", "sura_name_en",
-        word_no.alias("word_no"),
-        "text",
-        norm(F.col("text")).alias("norm"),
-        (at - F.col("page_start")).alias("flat_index"),
-        word_ref(F.col("sura_no"), F.col("aya_no"), word_no).alias("word_ref"),
-    )
+    return Corpus(packed_verses(verses, norm, need_space)).words()
 
 
 def page_word_index(words: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.session import fresh_path
 from lectern.operators.index import word_index
+from lectern.operators.packed import Corpus, packed_verses
 from lectern.operators.text_jobs import phoneme_table
 from lectern.sources import bindings
 
@@ -48,8 +49,13 @@ def arabic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "arabic_verses", lambda: bindings.verses(spark, sf_dir, arabic=True))
 
 
+def packed_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(_once(spark, sf_dir, "packed", lambda: packed_verses(bindings.verses(spark, sf_dir))))
+
+
 def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "words", lambda: word_index(corpus(spark, sf_dir)))
+    """A row per word: a view of the packed corpus."""
+    return packed_corpus(spark, sf_dir).words()
 
 
 def arabic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
