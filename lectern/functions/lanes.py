@@ -15,6 +15,8 @@ BITS = 64
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: cells of a chunk's match table
 _CELLS = 4 << 20
+#: lanes of a chunk: their states fit the processor's cache
+_LANES = 4096
 
 
 def distinct(words: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -44,6 +46,19 @@ def _edits(a: str, b: str) -> int:
     return int(row[-1])
 
 
+def _bag(coded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of the letters that a word has once at least, and twice at least, and what it has of them beyond."""
+    once, twice = np.zeros(len(coded), dtype=np.uint64), np.zeros(len(coded), dtype=np.uint64)
+    more = np.zeros(len(coded), dtype=np.int64)
+    for k in range(coded.shape[1]):
+        letter = coded[:, k]
+        bit = np.where(letter > 0, _ONE << (letter % BITS).astype(np.uint64), np.uint64(0))
+        more += (twice & bit) != 0
+        twice |= once & bit
+        once |= bit
+    return once, twice, more
+
+
 class Pairing:
     """Pattern words against text words, both distinct, pairs given by their numbers."""
 
@@ -61,6 +76,7 @@ class Pairing:
         spot = np.minimum(np.searchsorted(alphabet, text), max(alphabet.size - 1, 0))
         known = alphabet[spot] == text if alphabet.size else np.zeros(text.shape, dtype=bool)
         self._text = np.where(known, spot + 1, 0).astype(np.int64)
+        self._bags = _bag(self._pattern), _bag(self._text)
         place = {w: k for k, w in enumerate(texts)}
         self.same = np.fromiter((place.get(w, -1) for w in patterns), dtype=np.int64, count=len(patterns))
 
@@ -69,7 +85,7 @@ class Pairing:
         out = np.maximum(self.a[i], self.b[j])
         short = (self.a[i] <= BITS) & (self.b[j] <= BITS)
         some = np.flatnonzero(short & (self.a[i] > 0) & (self.b[j] > 0))
-        chunk = int(np.clip(_CELLS // self.letters, 64, 1 << 14))
+        chunk = int(np.clip(_CELLS // self.letters, 64, _LANES))
         if some.size > chunk:
             some = some[np.argsort(i[some], kind="stable")]
         for at in range(0, some.size, chunk):
@@ -95,29 +111,48 @@ class Pairing:
         score = size.copy()
         up, down = np.full(order.size, _ALL), np.zeros(order.size, dtype=np.uint64)
         left = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # lanes with a letter at each step
+        match, base, text = match.ravel(), slot * self.letters, np.ascontiguousarray(text.T)
+        rooms = [np.empty(order.size, dtype=np.uint64) for _ in range(3)]
         for step, n in enumerate(left.tolist()):
             vp, vn, high = up[:n], down[:n], top[:n]
-            eq = match[slot[:n], text[:n, step]] | vn
-            diagonal = (((eq & vp) + vp) ^ vp) | eq
-            minus = vp & diagonal
-            plus = vn | ~(vp | diagonal)
+            diagonal, plus, minus = (room[:n] for room in rooms)
+            eq = match[base[:n] + text[step, :n]]
+            eq |= vn
+            np.bitwise_and(eq, vp, out=diagonal)
+            diagonal += vp
+            diagonal ^= vp
+            diagonal |= eq
+            np.bitwise_and(vp, diagonal, out=minus)
+            np.bitwise_or(vp, diagonal, out=plus)
+            np.invert(plus, out=plus)
+            plus |= vn
             score[:n] += (plus & high) != 0
             score[:n] -= (minus & high) != 0
-            plus = (plus << _ONE) | _ONE
-            down[:n] = plus & diagonal
-            up[:n] = (minus << _ONE) | ~(plus | diagonal)
+            plus <<= _ONE
+            plus |= _ONE
+            np.bitwise_and(plus, diagonal, out=vn)
+            np.bitwise_or(plus, diagonal, out=vp)
+            np.invert(vp, out=vp)
+            minus <<= _ONE
+            vp |= minus
         out = np.empty_like(score)
         out[order] = score
         return out
 
     def similarity(self, i: np.ndarray, j: np.ndarray, least: float = 0.0) -> np.ndarray:
-        """``1 - edits / longest`` of every pair; pairs whose lengths rule ``least`` out give 0."""
+        """``1 - edits / longest`` of every pair; pairs whose lengths or letters rule ``least`` out give 0."""
         longest = np.maximum(self.a[i], self.b[j])
         out = np.zeros(i.size)
         out[self.same[i] == j] = 1.0
         with np.errstate(divide="ignore", invalid="ignore"):
             bound = 1.0 - np.abs(self.a[i] - self.b[j]) / longest
         some = np.flatnonzero((out == 0) & (self.a[i] > 0) & (self.b[j] > 0) & (bound >= least))
+        if least > 0 and some.size:  # no more letters can be kept than the two words share
+            (a1, a2, a3), (b1, b2, b3) = self._bags
+            p, t = i[some], j[some]
+            shared = np.bitwise_count(a1[p] & b1[t]).astype(np.int64) + np.bitwise_count(a2[p] & b2[t]) + np.minimum(a3[p], b3[t])
+            lane = (self.a[p] > BITS) | (self.b[t] > BITS)
+            some = some[lane | (1.0 - (longest[some] - shared) / longest[some] >= least)]
         if some.size:
             out[some] = 1.0 - self.edits(i[some], j[some]) / longest[some]
         return out
