@@ -20,10 +20,10 @@ _LANES = 4096
 
 
 def distinct(words: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Distinct words of an array without nulls, and the number of each place."""
+    """Distinct words of an array, and the number of each place; a null counts as empty."""
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
-    coded = words.dictionary_encode()
+    coded = words.fill_null("").dictionary_encode()
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 

@@ -137,7 +137,7 @@ def length_class(reach: Column) -> Column:
 
 
 def over_blocks(
-    rows: DataFrame, corpus: Corpus, fn: Callable[[pa.Table, int, pa.Array], pa.Table], schema: str, weight: Column | None = None, word: str = "norm"
+    rows: DataFrame, corpus: Corpus, fn: Callable[[pa.Table, int, pa.Array], pa.Table], schema, weight: Column | None = None, word: str = "norm"
 ) -> DataFrame:
     """``fn(rows, base, words)`` of rows and the block of the corpus they begin in.
 

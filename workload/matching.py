@@ -8,7 +8,7 @@ from lectern.functions.session import through_table
 from lectern.functions.text import normalize_segment, split_words
 from lectern.operators import align, index, locate, matching, openings, timing
 from lectern.plans import alignment
-from lectern.plans.corpus_tables import _once, arabic_corpus, arabic_words, corpus_words
+from lectern.plans.corpus_tables import _once, arabic_corpus, arabic_words, corpus_words, packed_corpus
 from lectern.sources import bindings
 from lectern.sources.bindings import fold_accents, table
 from workload.base import ARABIC_WORDS, WORDS, norm_segment, sim, with_
@@ -30,7 +30,7 @@ def segments(spark, sf_dir):
 
 
 def matches(spark, sf_dir):
-    return _once(spark, sf_dir, "matches", lambda: matching.match_chunks(chunks(spark, sf_dir), corpus_words(spark, sf_dir)))
+    return _once(spark, sf_dir, "matches", lambda: matching.match_chunks(chunks(spark, sf_dir), packed_corpus(spark, sf_dir)))
 
 
 def match_chunk(spark, sf_dir):
@@ -39,7 +39,7 @@ def match_chunk(spark, sf_dir):
 
 def match_interim(spark, sf_dir):
     rows = chunks(spark, sf_dir).withColumn("consumed", (F.col("chunk") % 3).cast("int"))
-    return matching.match_interim(rows, corpus_words(spark, sf_dir))
+    return matching.match_interim(rows, packed_corpus(spark, sf_dir))
 
 
 def match_word(spark, sf_dir):
@@ -49,7 +49,7 @@ def match_word(spark, sf_dir):
         F.concat_ws(":", F.col("session").cast("string"), F.col("chunk").cast("string"), F.col("place").cast("string")).alias("ask_id"),
         "page", "pointer", "word",
     )
-    return matching.match_words(asked, corpus_words(spark, sf_dir))
+    return matching.match_words(asked, packed_corpus(spark, sf_dir))
 
 
 def word_events(spark, sf_dir):
@@ -63,7 +63,7 @@ def _paged(df):
 def recitation_result(spark, sf_dir):
     """A session is one document's recitation of one page."""
     events = _paged(word_events(spark, sf_dir)).withColumn("ts", F.col("chunk") * 1.5)
-    pages = matching.page_starts(corpus_words(spark, sf_dir)).select("page", F.col("page_words").alias("total_words"))
+    pages = matching.page_starts(packed_corpus(spark, sf_dir)).select("page", F.col("page_words").alias("total_words"))
     totals = _paged(chunks(spark, sf_dir)).select("session", "page").distinct().join(pages, "page").select("session", "total_words")
     return matching.recitation_result(events, totals)
 
@@ -73,7 +73,7 @@ def reveal_state(spark, sf_dir):
     first = matches(spark, sf_dir).groupBy("page").agg(F.min_by(F.struct("session", "chunk", "matched_up_to", "errors"), F.struct("session", "chunk")).alias("m"))
     s = first.select(F.concat_ws("/", F.col("m.session").cast("string"), F.col("page").cast("string")).alias("session"), "page", F.col("m.matched_up_to").alias("pointer"), "m.errors", F.lit(None).cast("bigint").alias("paused_at"))
     errors = s.select("session", F.explode("errors").alias("flat_index"))
-    return matching.reveal_state(s.drop("errors"), errors, corpus_words(spark, sf_dir))
+    return matching.reveal_state(s.drop("errors"), errors, packed_corpus(spark, sf_dir))
 
 
 def reveal_states(spark, sf_dir):
@@ -81,7 +81,7 @@ def reveal_states(spark, sf_dir):
     heard = _paged(matches(spark, sf_dir))
     s = heard.groupBy("session", "page").agg(F.max("matched_up_to").alias("pointer")).withColumn("paused_at", F.lit(None).cast("bigint"))
     errors = heard.select("session", F.explode("errors").alias("flat_index"))
-    return matching.reveal_state(s, errors, corpus_words(spark, sf_dir))
+    return matching.reveal_state(s, errors, packed_corpus(spark, sf_dir))
 
 
 def partial_basmala(spark, sf_dir):
