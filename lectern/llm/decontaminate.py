@@ -12,6 +12,7 @@ order within a span of words. Test items are taken in blocks of ``BLOCK_BYTES``,
 sent to the executors at once has a fixed bound.
 
 Cases: a null text has no words and is never hit; a null item text asks nothing; an item
+without an id hits like any other but is not among the items named; an item
 without item_id is left out; rows that repeat a doc_id are documents of their own, and items
 that repeat an item_id count once; an empty table gives an empty result (or documents that
 are all clean). Extra columns are carried along under their own names where asked for.
@@ -173,7 +174,9 @@ class Phrases:
             for at in range(max(1, len(own) - window + 1) if own else 0):
                 owners.setdefault(tuple(own[at : at + window]), set()).add(item)
         self.windows = [np.array(w) for w in owners]
-        self.owners = [sorted(o) for o in owners.values()]
+        self.owners = [sorted(x for x in o if x is not None) for o in owners.values()]  # an item without id hits, but has no name
+        self.flat = np.concatenate(self.windows) if owners else np.zeros(0, dtype=np.int64)
+        self.begin = np.cumsum([0, *map(len, owners)])[:-1]
         self.counts = np.zeros(len(self.terms), dtype=np.int64)
         self.order: list[np.ndarray] = []
 
@@ -212,10 +215,10 @@ def term_counts(index: DataFrame, terms: pa.Array) -> dict[int, int]:
 def blocks(items: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """Test items in blocks of bounded text, streamed to the driver."""
     held, room = [], 0
-    asked = items.where("item_id is not null and text is not null").select("item_id", "text")
+    asked = items.where("text is not null").select("item_id", "text", F.octet_length("text").alias("size"))
     for row in asked.toLocalIterator():
         held.append((row.item_id, row.text))
-        room += len(row.text)
+        room += row["size"]
         if room >= size:
             yield held
             held, room = [], 0
@@ -250,10 +253,10 @@ def _matched(index: DataFrame, phrases: Phrases) -> DataFrame:
                 n_docs = part.first.size - 1
                 cover = np.zeros(int(part.first[-1]) + 1, dtype=np.int64)
                 hits: dict[int, set[int]] = {}
-                for window, order, owners in zip(ask.windows, ask.order, ask.owners):
+                present = np.minimum.reduceat(codes[ask.flat], ask.begin) >= 0 if ask.windows else np.zeros(0, dtype=bool)
+                for k in np.flatnonzero(present).tolist():  # windows whose words the segment all has
+                    window, order, owners = ask.windows[k], ask.order[k], ask.owners[k]
                     own = codes[window]
-                    if own.min() < 0:
-                        continue
                     starts = part.phrase(own, order)
                     if starts.size:
                         np.add.at(cover, starts, 1)
@@ -307,7 +310,7 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
     found, count = None, 0
     for block in blocks(items, block_bytes):
         part = _matched(index, Phrases(block, window))
-        found = part if found is None else found.unionByName(part.where("size(items) > 0"))
+        found = part if found is None else found.unionByName(part.where("size(spans) > 0"))
         count += 1
     if found is None:
         found = _matched(index, Phrases([], window))
@@ -340,7 +343,7 @@ def near(index: DataFrame, items: DataFrame, span: int, block_bytes: int = BLOCK
         codes = coded.indices.to_numpy(zero_copy_only=False)
         counts = term_counts(index, terms)
         asked = []
-        for n, (item, _) in enumerate(block):
+        for n, (item, _) in enumerate(block):  # an item without id gives rows without one
             own = np.array(sorted(set(codes[words.first[n] : words.first[n + 1]].tolist())), dtype=np.int64)
             if own.size:
                 asked.append((item, own, np.argsort([counts.get(int(c), 0) for c in own], kind="stable")))
@@ -388,6 +391,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: Iterable[str] = ("doc
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (F.size("spans") > 0).alias("contaminated"),
         "spans",
     )

@@ -10,11 +10,13 @@ Everything happens within the row of a document: no shuffle, no join, no Python.
 
 Cases: a null text is empty; an empty one has no words, null positions, empty labels and score
 0; repeated rows get a result each; an empty table gives no rows; other columns are carried in
-the struct ``doc``. Letters beyond A-Z are lower-cased too, which changes no word's extent.
+the struct ``doc``; a very long text with very many mentions takes time in proportion to its
+length. Letters beyond A-Z are lower-cased too, which changes no word's extent.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,9 @@ BASE = (
 )
 _BASE_PRIORITY = -1
 _LEVELS = 4
+_OPEN, _CLOSE = "\x01", "\x02"
+#: detections folded at once
+_RUN = 128
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 DETECTION = "struct<start:int,stop:int,priority:int,label:string,confidence:double>"
 
@@ -44,25 +49,22 @@ def _blanks(text: Column) -> Column:
 
 
 def _places(text: Column, rule: Column) -> Column:
-    """Every detection of one rule, by splitting at its matches and counting words before each."""
-    between = F.split(text, rule["pattern"], -1)
-    matches = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    pieces = F.transform(matches, lambda m, k: F.struct(_blanks(F.element_at(between, k + 1)).alias("before"), _blanks(m).alias("inside")))
-    none = F.array().cast(f"array<{DETECTION}>")
-    begin = F.struct(F.lit(-1).alias("at"), none.alias("found"))
-
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + x["before"]
-        one = F.struct(
-            at.alias("start"),
-            (at + x["inside"] + 1).alias("stop"),
-            rule["priority"].alias("priority"),
-            rule["label"].alias("label"),
-            rule["confidence"].alias("confidence"),
-        )
-        return F.struct((at + x["inside"]).alias("at"), F.concat(s["found"], F.array(one)).alias("found"))
+    """Every detection of one rule, in time linear in the text.
 
-    return F.aggregate(pieces, begin, step, lambda s: s["found"])
+    Matches are marked at their first and last word, so that the numbers of the marked words
+    are the places; normalised text holds no control characters.
+    """
+    marked = F.split(F.regexp_replace(text, rule["pattern"], F.lit(f"{_OPEN}$0{_CLOSE}")), " ")
+    numbered = lambda edge: F.filter(F.transform(marked, lambda w, k: F.when(edge(w), k)), lambda k: k.isNotNull())
+    starts, stops = numbered(lambda w: w.startswith(_OPEN)), numbered(lambda w: w.endswith(_CLOSE))
+    one = lambda d: F.struct(
+        (d["start"] - 1).alias("start"),  # the text begins with a blank
+        d["stop"].alias("stop"),
+        rule["priority"].alias("priority"),
+        rule["label"].alias("label"),
+        rule["confidence"].alias("confidence"),
+    )
+    return F.transform(F.arrays_zip(starts.alias("start"), stops.alias("stop")), one)
 
 
 def _from_word(rule: Rule) -> str:
@@ -71,18 +73,12 @@ def _from_word(rule: Rule) -> str:
 
 
 def _table(found: list[Rule]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r.priority).alias("priority"),
-                F.lit(r.label).alias("label"),
-                F.lit(r.confidence).alias("confidence"),
-                F.lit(_from_word(r)).alias("keyword"),
-                F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"),
-            )
-            for r in found
-        ]
-    )
+    """The rules as one literal array; it is parsed once, while the plan is made."""
+    rows = [
+        {"priority": r.priority, "label": r.label, "confidence": r.confidence, "keyword": _from_word(r), "pattern": f"(?<= )(?:{r.pattern})(?= )"}
+        for r in found
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<priority:int,label:string,confidence:double,keyword:string,pattern:string>>")
 
 
 def _standing(found: Column) -> Column:
@@ -101,7 +97,7 @@ def _standing(found: Column) -> Column:
         )
     )
     none = F.array().cast(f"array<{DETECTION}>")
-    begin = F.struct(F.array(*[F.lit(-1)] * _LEVELS).alias("reach"), none.alias("kept"))
+    unreached = F.array(*[F.lit(-1)] * _LEVELS)
 
     def step(s: Column, d: Column) -> Column:
         stop, level = -d["longest"], d["priority"]
@@ -110,7 +106,16 @@ def _standing(found: Column) -> Column:
         reach = F.transform(s["reach"], lambda r, k: F.when(k == level, F.greatest(r, stop)).otherwise(r))
         return F.struct(reach.alias("reach"), F.when(inside, s["kept"]).otherwise(F.concat(s["kept"], F.array(one))).alias("kept"))
 
-    return F.aggregate(ordered, begin, step, lambda s: s["kept"])
+    def run(s: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(s["reach"].alias("reach"), none.alias("kept")), step)
+        joined = lambda i: F.struct(i["reach"].alias("reach"), F.concat(s["runs"], F.array(i["kept"])).alias("runs"))
+        return F.element_at(F.transform(F.array(inner), joined), 1)
+
+    # arrays grow within a run of detections only, so the fold stays linear in their number
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _RUN).cast("int")), lambda k: F.slice(all_, k * _RUN + 1, _RUN))
+    parts = F.element_at(F.transform(F.array(ordered), cut), 1)
+    begin = F.struct(unreached.alias("reach"), F.array().cast(f"array<array<{DETECTION}>>").alias("runs"))
+    return F.aggregate(parts, begin, run, lambda s: F.flatten(s["runs"]))
 
 
 def scan(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> DataFrame:

@@ -1,10 +1,8 @@
 """WARC archives: written by Spark from a page table, and read back by a salvage reader.
 
 Writing: payload digests are computed in the JVM; of equal payloads the one of largest
-page_id becomes a response, the others revisits that refer to it (digests meet in a join, so
-a payload that a third of all pages share is split like any skewed key). Records are strings
-whose terminator is the line separator of Spark's text writer: the files are WARC files,
-compressed by Spark, of a bounded number of records each.
+page_id becomes a response, the others revisits that refer to it. Each record is a gzip member
+of its own, in files of a bounded number of records.
 
 Reading: ``salvage`` takes files as bytes, gzip (of one or many members) or plain. A record
 must begin with a version line, be as long as it says, end with two line breaks and match its
@@ -21,6 +19,7 @@ the page table are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -30,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.session import broadcast_if_small
+
 MIN_BYTES = 0
 RECORDS_PER_FILE = 1000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,12 +48,17 @@ def base32_sha1(text: Column) -> Column:
 
 
 def typed(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, bytes, and ``refers_to`` for revisits."""
+    """page_id, url, payload, digest, bytes, and ``refers_to`` for revisits.
+
+    Only digests that occur twice are joined: a written table, broadcast if it is measured to be
+    small, so that no page's text is shuffled; else Spark splits the pages of a frequent one.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    largest = rows.select("page_id", "digest").groupBy("digest").agg(F.max("page_id").alias("largest"))
-    found = rows.join(largest, "digest")
-    revisit = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("largest"))
+    counted = rows.select("page_id", "digest").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
+    repeated = broadcast_if_small(counted.where("n > 1 and largest is not null").select("digest", "largest"))
+    found = rows.join(repeated, "digest", "left")
+    revisit = (F.col("bytes") >= min_bytes) & F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return found.withColumn("refers_to", F.when(revisit, F.col("largest"))).drop("largest")
 
 
@@ -80,10 +86,31 @@ def record(date: str) -> Column:
     )
 
 
+def member(body: bytes) -> bytes:
+    """A record as gzip bytes whose last one is zero: the top of the length they end with.
+
+    A record of 16 MB or more is followed by an empty member, whose length ends so.
+    """
+    packed = gzip.compress(body, 6, mtime=0)
+    return packed if packed[-1] == 0 else packed + gzip.compress(b"", 6, mtime=0)
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, per_file: int = RECORDS_PER_FILE, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Write a record per page under ``path``, gzip-compressed."""
-    lines = typed(pages, min_bytes).select(record(date).alias("value"))
-    writer = lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file)
+    """Write a record per page under ``path``, each a gzip member of its own.
+
+    Spark's text writer ends a record with its line separator, here the zero byte that every
+    member ends with; a damaged byte therefore costs one record.
+    """
+    rows = typed(pages, min_bytes).select(F.concat(record(date), F.lit(_END.decode())).alias("value"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                bodies = [member(v.as_py().encode())[:-1] for v in batch.column(0).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], names=["value"])
+
+    lines = rows.mapInArrow(packed, "value binary").select(F.col("value").cast("string").alias("value"))
+    writer = lines.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file)
     writer.mode("errorifexists").text(path)
 
 
@@ -192,7 +219,7 @@ def salvage(files: DataFrame, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for n in range(batch.num_rows):
                 path, body = batch.column(0)[n].as_py(), batch.column(1)[n].as_py() or b""
-                rows = []
+                rows: list[dict] = []
                 for kind, offset, length, what, block in members(body) if body.startswith(_MEMBER) else records(body):
                     row = {"path": path, "kind": kind, "offset": offset, "length": length}
                     if kind == "gap":
@@ -215,6 +242,9 @@ def salvage(files: DataFrame, with_payload: bool = True) -> DataFrame:
                                 "payload": payload if with_payload else None,
                             }
                     rows.append(row)
+                    if len(rows) == 64:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_FOUND_ARROW)
+                        rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=_FOUND_ARROW)
 
     return files.select("path", "content").mapInArrow(read, FOUND)
@@ -227,5 +257,5 @@ _FOUND_ARROW = pa.schema(
 
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
     """Salvage all files under a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").load(path)
     return salvage(files, with_payload)

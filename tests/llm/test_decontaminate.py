@@ -23,7 +23,7 @@ def _brute(texts, items, window=10):
                     if words[at : at + len(part)] == part:
                         hit |= set(range(at, at + len(part)))
                         ids.add(item)
-        out.append((doc_id, len(words), len(hit), sorted(ids)))
+        out.append((doc_id, len(words), len(hit), sorted(ids - {None})))
     return sorted(out, key=str)
 
 
@@ -35,6 +35,8 @@ def _items(spark):
         (4, "a a a a a a a a a a a a"),
         (5, "one"),
         (None, "one"),
+        (None, "over the lazy"),
+        (None, "漢字 かな"),
         (6, "the quick brown fox jumps over the lazy dog and runs away from here and on"),
         (6, "lazy dog"),
         (7, "word5 tail5 word6 tail6 word7 tail7 word8 tail8 word9 tail9 word10"),
@@ -44,7 +46,7 @@ def _items(spark):
 
 def test_cases_against_brute_force_in_one_and_many_blocks(spark):
     docs, items = frame(spark).repartition(2), _items(spark)
-    asked = [(r.item_id, r.text) for r in items.collect() if r.item_id is not None]
+    asked = [(r.item_id, r.text) for r in items.collect()]
     want = _brute(texts_of(docs), asked)
     index = dc.build_index(docs, keep=docs.columns)
     for size in (dc.BLOCK_BYTES, 20):
@@ -54,6 +56,12 @@ def test_cases_against_brute_force_in_one_and_many_blocks(spark):
         assert sorted(rows, key=str) == want
 
 
+def test_an_item_without_id_still_contaminates(spark):
+    items = spark.createDataFrame([(None, "lazy dog")], "item_id long, text string")
+    got = dc.decontaminate(frame(spark), items).select("doc.doc_id", "n_hit", "n_items", "contaminated").collect()
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in got if r.contaminated} == {(1, 2, 0), (7, 2, 0)}
+
+
 def test_empty_tables(spark):
     docs, items = frame(spark), _items(spark)
     assert count(dc.decontaminate(empty(spark), items)) == 0

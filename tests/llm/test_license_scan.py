@@ -1,4 +1,5 @@
 import re
+import time
 
 from lectern.llm import license_scan as ls
 from lectern.llm import queries
@@ -72,3 +73,16 @@ def test_cases(spark):
         if not r.n_words:
             assert (r.labels, r.score) == ("", 0.0)
     assert count(ls.summarise(ls.scan(empty(spark)))) == 0
+
+
+def test_a_hundred_thousand_mentions_in_one_text(spark):
+    lines = ["under the mit license and ", "gnu general public license version 3 or any later version ", "word "]
+    text = "".join(lines[k % 3] for k in range(150_000))
+    docs = frame(spark, [(1, text), (2, "mit license"), (3, lines[1] * 700)])
+    begin = time.time()
+    rows = {r.doc.doc_id: r for r in ls.summarise(ls.scan(docs)).collect()}
+    assert time.time() - begin < 60
+    assert (rows[1].n_words, rows[1].n_base, rows[1].first_word, rows[1].last_word, rows[1].base_labels) == _base(text)
+    standing = {r.doc.doc_id: r.standing for r in ls.scan(docs).where("doc.doc_id = 3").collect()}
+    got = [(d.start, d.stop, d.priority, d.label) for d in standing[3]]
+    assert got == _standing(lines[1] * 700)

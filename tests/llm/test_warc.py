@@ -117,3 +117,26 @@ def test_members_are_salvaged():
     one = gzip.compress(b"".join(_record(n) for n in range(8)))
     found = list(warc.members(one[: len(one) * 2 // 3]))
     assert _ids(found)[:1] == ["<urn:page:0>"] and found[-1][0] == "gap"
+
+
+def test_a_damaged_byte_in_written_archives_costs_one_record(spark):
+    rows = [(n, f"http://x/{n}", f"<p>page {n} " + "text " * (n % 50)) for n in range(120)] + [(500, "u", "x" * 17_000_000)]
+    path = fresh_path(spark, "archives")
+    warc.write_archives(_pages(spark, rows).coalesce(1), path, per_file=1000)
+    assert {r.page_id for r in warc.read_archives(spark, path, False).collect()} == {str(i) for i, _, _ in rows}
+    file = next(f for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect())
+    body = bytearray(file.content)
+    rng = random.Random(6)
+    for at in (rng.randrange(3, len(body) // 2) for _ in range(12)):
+        broken = bytes(body[:at]) + bytes([body[at] ^ 0x55]) + bytes(body[at + 1 :])
+        found = list(warc.members(broken))
+        whole = [f for f in found if f[0] == "record"]
+        assert len(whole) >= len(rows) - 1 and (len(whole) == len(rows) or any(f[0] == "gap" for f in found))
+
+
+def test_pages_that_share_a_payload_are_not_one_task(spark):
+    pages = spark.range(3000).selectExpr("id page_id", "'u' url", "if(id % 3 = 0, 'error', concat('page ', id)) html")
+    plan = warc.typed(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    got = {r.page_id: r.refers_to for r in warc.typed(pages).collect()}
+    assert all(got[i] == (2997 if i % 3 == 0 and i != 2997 else None) for i in range(3000))
