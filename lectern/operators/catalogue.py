@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.folds import ordered_fold
-from lectern.functions.session import broadcast_if_small
+from lectern.functions.session import broadcast_if_small, through_table
 
 # --- fixed values -----------------------------------------------------------
 MEDINAN_CHAPTERS = (
@@ -233,6 +233,39 @@ def _containing(queries: DataFrame, needle: str, texts: DataFrame, text: str) ->
     return out
 
 
+def _containing_by_words(queries: DataFrame, needle: str, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """As ``_containing``, by the vocabulary of the texts.
+
+    A needle's longest part between blanks lies within one word of every text that contains it.
+    Grams are made of distinct words only; the words that contain the part lead to the texts
+    that have them, and the whole needle is sought in those. Needles without such a part (tabs
+    alone) go the other way.
+    """
+    parts = F.array_sort(F.filter(F.split(needle, r"\s+"), lambda w: w != ""), lambda a, b: F.length(b) - F.length(a))
+    asked = queries.withColumn("_part", F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
+    asked = through_table(asked.withColumn("_n", F.least(F.length("_part"), F.lit(3))), "needles")
+    sizes = [r[0] for r in asked.select("_n").distinct().collect()]  # four at most
+    words = texts.select(F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_word"), key).filter("_word <> ''")
+    pieces = asked.filter("_n > 0").select("_part", "_n").distinct()
+    vocabulary = words.select("_word").distinct().withColumn("_chars", F.filter(F.split("_word", ""), lambda ch: ch != ""))
+    vocabulary = through_table(vocabulary, "vocabulary")
+    out = None
+    for n in sorted(set(sizes) - {0}):
+        mine = pieces.filter(F.col("_n") == n).select("_part", F.right("_part", F.lit(n)).alias("_gram"))
+        grams = vocabulary.select("_word", F.explode(_grams(F.col("_chars"), n)).alias("_gram"))
+        pairs = grams.join(broadcast_if_small(mine), "_gram").filter(F.contains(F.col("_word"), F.col("_part"))).select("_word", "_part")
+        out = pairs if out is None else out.unionByName(pairs)
+    found = None
+    if out is not None:
+        near = words.join(broadcast_if_small(out), "_word").select(key, "_part").distinct()
+        asking = asked.filter("_n > 0").drop("_n")
+        found = texts.join(near, key).join(broadcast_if_small(asking), "_part").filter(F.contains(F.col(text), F.col(needle))).drop("_part")
+    if 0 in sizes or found is None:
+        rest = _containing(asked.filter("_n = 0").drop("_n", "_part"), needle, texts, text)
+        found = rest if found is None else found.unionByName(rest)
+    return found
+
+
 def search_verses(queries: DataFrame, verses: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Hits of ``(query_id, query)``: a reference ``c:v`` or the verses containing it.
 
@@ -253,8 +286,8 @@ def search_verses(queries: DataFrame, verses: DataFrame, limit: int = SEARCH_LIM
         .select("query_id", "v.id", "sura_no", "aya_no", "v.page")
     )
     needles = asked.filter("NOT _ref").select("query_id", F.trim("query").alias("_needle"))
-    hits = _containing(
-        needles, "_needle", verses.select("id", "sura_no", "aya_no", "page", "aya_text"), "aya_text"
+    hits = _containing_by_words(
+        needles, "_needle", verses.select("id", "sura_no", "aya_no", "page", "aya_text"), "id", "aya_text"
     )
     found = hits.select("query_id", "id", "sura_no", "aya_no", "page").unionByName(direct)
     place = F.row_number().over(W.partitionBy("query_id").orderBy("id"))
