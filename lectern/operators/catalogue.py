@@ -233,13 +233,13 @@ def _containing(queries: DataFrame, needle: str, texts: DataFrame, text: str) ->
     return out
 
 
-def _containing_by_words(queries: DataFrame, needle: str, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """As ``_containing``, by the vocabulary of the texts.
+def _containing_by_words(queries: DataFrame, needle: str, texts: DataFrame, key: str, text: str, limit: int) -> DataFrame:
+    """As ``_containing``, by the vocabulary of the texts; at least the ``limit`` smallest keys of a needle.
 
     A needle's longest part between blanks lies within one word of every text that contains it.
     Grams are made of distinct words only; the words that contain the part lead to the texts
-    that have them, and the whole needle is sought in those. Needles without such a part (tabs
-    alone) go the other way.
+    that have them. A needle that is one such part is found with that, and only its smallest keys
+    go on; any other is sought in the texts. Needles without a part (tabs alone) go the other way.
     """
     parts = F.array_sort(F.filter(F.split(needle, r"\s+"), lambda w: w != ""), lambda a, b: F.length(b) - F.length(a))
     asked = queries.withColumn("_part", F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
@@ -257,9 +257,16 @@ def _containing_by_words(queries: DataFrame, needle: str, texts: DataFrame, key:
         out = pairs if out is None else out.unionByName(pairs)
     found = None
     if out is not None:
-        near = words.join(broadcast_if_small(out), "_word").select(key, "_part").distinct()
+        near = words.join(broadcast_if_small(out), "_word").select(key, "_part")
+        whole = F.col("_part") == F.col(needle)
         asking = asked.filter("_n > 0").drop("_n")
-        found = texts.join(near, key).join(broadcast_if_small(asking), "_part").filter(F.contains(F.col(text), F.col(needle))).drop("_part")
+        first = F.dense_rank().over(W.partitionBy("_part").orderBy(key))
+        one = near.join(broadcast_if_small(asking.filter(whole).select("_part").distinct()), "_part", "left_semi")
+        one = one.withColumn("_first", first).filter(F.col("_first") <= limit).select(key, "_part").distinct()
+        one = texts.join(broadcast_if_small(one), key).join(asking.filter(whole), "_part")
+        more = near.join(broadcast_if_small(asking.filter(~whole).select("_part").distinct()), "_part", "left_semi").distinct()
+        more = texts.join(more, key).join(broadcast_if_small(asking.filter(~whole)), "_part").filter(F.contains(F.col(text), F.col(needle)))
+        found = one.unionByName(more).drop("_part")
     if 0 in sizes or found is None:
         rest = _containing(asked.filter("_n = 0").drop("_n", "_part"), needle, texts, text)
         found = rest if found is None else found.unionByName(rest)
@@ -287,7 +294,7 @@ def search_verses(queries: DataFrame, verses: DataFrame, limit: int = SEARCH_LIM
     )
     needles = asked.filter("NOT _ref").select("query_id", F.trim("query").alias("_needle"))
     hits = _containing_by_words(
-        needles, "_needle", verses.select("id", "sura_no", "aya_no", "page", "aya_text"), "id", "aya_text"
+        needles, "_needle", verses.select("id", "sura_no", "aya_no", "page", "aya_text"), "id", "aya_text", limit
     )
     found = hits.select("query_id", "id", "sura_no", "aya_no", "page").unionByName(direct)
     place = F.row_number().over(W.partitionBy("query_id").orderBy("id"))
