@@ -17,6 +17,8 @@ LAST_PART = (78, 114)
 VERSES_ON_A_PAGE = 15
 DEFAULT_VERSES_PER_DAY = 7
 SMALL_CHAPTER = 5
+#: share of the corpus in which a search looks first
+FIRST_SHARE = 1 / 64
 SEARCH_LIMIT = 50
 # ----------------------------------------------------------------------------
 
@@ -233,13 +235,13 @@ def _containing(queries: DataFrame, needle: str, texts: DataFrame, text: str) ->
     return out
 
 
-def _containing_by_words(queries: DataFrame, needle: str, texts: DataFrame, key: str, text: str, limit: int) -> DataFrame:
-    """As ``_containing``, by the vocabulary of the texts; at least the ``limit`` smallest keys of a needle.
+def _containing_by_words(queries: DataFrame, needle: str, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """As ``_containing``, by the vocabulary of the texts.
 
     A needle's longest part between blanks lies within one word of every text that contains it.
     Grams are made of distinct words only; the words that contain the part lead to the texts
-    that have them. A needle that is one such part is found with that, and only its smallest keys
-    go on; any other is sought in the texts. Needles without a part (tabs alone) go the other way.
+    that have them. A needle that is one such part is found with that; any other is sought in the
+    texts. Needles without a part (tabs alone) go the other way.
     """
     parts = F.array_sort(F.filter(F.split(needle, r"\s+"), lambda w: w != ""), lambda a, b: F.length(b) - F.length(a))
     asked = queries.withColumn("_part", F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
@@ -257,22 +259,34 @@ def _containing_by_words(queries: DataFrame, needle: str, texts: DataFrame, key:
         out = pairs if out is None else out.unionByName(pairs)
     found = None
     if out is not None:
-        near = words.join(broadcast_if_small(out), "_word").select(key, "_part")
-        whole = F.col("_part") == F.col(needle)
-        asking = asked.filter("_n > 0").drop("_n")
-        first = F.dense_rank().over(W.partitionBy("_part").orderBy(key))
-        one = near.join(broadcast_if_small(asking.filter(whole).select("_part").distinct()), "_part", "left_semi")
-        one = one.withColumn("_first", first).filter(F.col("_first") <= limit).select(key, "_part").distinct()
-        one = texts.join(broadcast_if_small(one), key).join(asking.filter(whole), "_part")
-        more = near.join(broadcast_if_small(asking.filter(~whole).select("_part").distinct()), "_part", "left_semi").distinct()
-        more = texts.join(more, key).join(broadcast_if_small(asking.filter(~whole)), "_part").filter(F.contains(F.col(text), F.col(needle)))
-        found = one.unionByName(more).drop("_part")
+        near = through_table(words.join(broadcast_if_small(out), "_word").select(key, "_part").distinct(), "near")
+        asking = broadcast_if_small(asked.filter("_n > 0").drop("_n"))
+        fits = (F.col("_part") == F.col(needle)) | F.contains(F.col(text), F.col(needle))
+        found = texts.join(near, key).join(asking, "_part").filter(fits).drop("_part")
     if 0 in sizes or found is None:
         rest = _containing(asked.filter("_n = 0").drop("_n", "_part"), needle, texts, text)
         found = rest if found is None else found.unionByName(rest)
     return found
 
 
+def _first_hits(needles: DataFrame, verses: DataFrame, limit: int) -> DataFrame:
+    """Verses that contain each needle, all up to its ``limit``-th in corpus order.
+
+    The smallest ids are searched first, a share of ``FIRST_SHARE``: a needle that has its hits
+    there needs no others, since all that follow stand later. Frequent needles thus end early
+    and the rest of the corpus is asked for the rare ones only.
+    """
+    ends = verses.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    if ends.a is None:
+        return _containing_by_words(needles, "_needle", verses, "id", "aya_text")
+    cut = ends.a + int((ends.b - ends.a) * FIRST_SHARE)
+    needles = through_table(needles, "asked")
+    early = through_table(_containing_by_words(needles, "_needle", verses.filter(F.col("id") <= cut), "id", "aya_text"), "early")
+    full = early.groupBy("query_id").count().filter(F.col("count") >= limit)
+    late = _containing_by_words(needles.join(full, "query_id", "left_anti"), "_needle", verses.filter(F.col("id") > cut), "id", "aya_text")
+    return early.unionByName(late)
+
+
 def search_verses(queries: DataFrame, verses: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Hits of ``(query_id, query)``: a reference ``c:v`` or the verses containing it.
 
@@ -293,9 +307,7 @@ def search_verses(queries: DataFrame, verses: DataFrame, limit: int = SEARCH_LIM
         .select("query_id", "v.id", "sura_no", "aya_no", "v.page")
     )
     needles = asked.filter("NOT _ref").select("query_id", F.trim("query").alias("_needle"))
-    hits = _containing_by_words(
-        needles, "_needle", verses.select("id", "sura_no", "aya_no", "page", "aya_text"), "id", "aya_text", limit
-    )
+    hits = _first_hits(needles, verses.select("id", "sura_no", "aya_no", "page", "aya_text"), limit)
     found = hits.select("query_id", "id", "sura_no", "aya_no", "page").unionByName(direct)
     place = F.row_number().over(W.partitionBy("query_id").orderBy("id"))
     return found.withColumn("hit_no", place.cast("bigint")).filter(F.col("hit_no") <= limit)
