@@ -115,13 +115,16 @@ class Corpus:
 
 
 def as_corpus(words: Corpus | DataFrame) -> Corpus:
-    """A packed corpus as it is; word rows (as ``word_index`` gives them) packed by verse."""
+    """A packed corpus as it is; word rows (as ``word_index`` gives them) packed by verse.
+
+    Rows without verse ids are packed by runs of consecutive positions; what else they lack is null.
+    """
     if isinstance(words, Corpus):
         return words
+    kinds = {"page": "bigint", "sura_no": "bigint", "aya_no": "bigint", "sura_name_en": "string", "flat_index": "bigint"}
+    given = {"id": F.floor(F.col("global_pos") / BUCKET), "text": F.col("norm")} | {c: F.lit(None).cast(k) for c, k in kinds.items()}
+    words = words.withColumns({c: v for c, v in given.items() if c not in words.columns})
     keys = ["id", "page", "sura_no", "aya_no", "sura_name_en"]
-    for c in keys:
-        if c not in words.columns:
-            words = words.withColumn(c, F.lit(None).cast("bigint") if c != "sura_name_en" else F.lit(None).cast("string"))
     packed = words.groupBy(*keys).agg(
         F.min("global_pos").alias("start"),
         F.min(F.col("global_pos") - F.col("flat_index")).alias("page_start"),
