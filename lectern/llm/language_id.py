@@ -13,7 +13,8 @@ error, as the column then holds something else.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, and so is everything if
 nothing was learnt; null languages teach nothing; equal distances go to the language first
-in the alphabet, equal counts to the n-gram of lower code points; repeated rows count and
+in the alphabet; of n-grams of equal counts the shorter goes first, then that of lower code
+points, in profiles and documents alike; repeated rows count and
 are predicted each; an empty table gives no rows.
 """
 
@@ -144,7 +145,8 @@ def profiles(docs: DataFrame, lang: str = "lang", size: int = PROFILE, learn: Co
         yield from merged()
 
     totals = rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    # as unsigned numbers, as in documents: one letter, two, three (bit 63)
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram")
     return totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
 
 

@@ -28,10 +28,6 @@ def _code(gram):
     return code | {1: 0, 2: 1 << 62, 3: 1 << 63}[len(gram)]
 
 
-def _signed(code):
-    return code - (1 << 64) if code >> 63 else code
-
-
 def test_grams_equal_plain_counting():
     texts = [t for _, t in TEXTS]
     made = li.Grams(texts)
@@ -48,7 +44,7 @@ def test_query_equals_plain_profiles(spark, small_dir):
             totals.setdefault(r.lang, Counter()).update(_grams(r.text))
     ranks = {}
     for lang, grams in totals.items():
-        top = sorted(grams.items(), key=lambda x: (-x[1], _signed(_code(x[0]))))[: li.PROFILE]
+        top = sorted(grams.items(), key=lambda x: (-x[1], _kind_order(x[0])))[: li.PROFILE]
         ranks[lang] = {g: k + 1 for k, (g, _) in enumerate(top)}
     got = {r.doc_id: r for r in queries.op1_language_id(spark, small_dir).collect()}
     for r in docs:
@@ -66,7 +62,7 @@ def test_query_equals_plain_profiles(spark, small_dir):
 
 
 def _kind_order(gram):
-    """Order of equal counts within a text: by length, then by code points."""
+    """Order of equal counts: by length, then by code points."""
     return len(gram), _code(gram) & ((1 << 62) - 1)
 
 
