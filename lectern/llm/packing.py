@@ -12,9 +12,9 @@ arrive first, which leaves the short ones to fill gaps.
 
 Ids equal those of ``tokenizers`` with the named vocabulary. Text of the scripts below
 U+0530 is encoded by ``tiktoken`` from the same ranks, several times faster; all other text
-by ``tokenizers`` itself. With ``added_tokens`` the string of an added token of the vocabulary
-(``<|endoftext|>``) stands for that token, as in a plain call of ``tokenizers``, which then
-encodes the texts that hold one; without, the string is text like any other.
+by ``tokenizers`` itself. The string of an added token of the vocabulary (``<|endoftext|>``)
+stands for that token, as in a plain call of ``tokenizers``, which then encodes the texts that
+hold one; without ``added_tokens`` the string is text like any other.
 
 Cases: a null or empty text gives one piece, the end id alone; an exact multiple of the
 sequence length gives full pieces only; repeated rows are packed each for itself; an empty
@@ -46,7 +46,7 @@ _BEYOND = 0xD5
 class Encoder:
     """Byte-level BPE of a public vocabulary, given as file names of ``public_tokenizers``."""
 
-    def __init__(self, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", added_tokens: bool = False) -> None:
+    def __init__(self, model: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", added_tokens: bool = True) -> None:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
@@ -127,13 +127,14 @@ def pack(
     with_ids: bool = False,
     model: str = "byte_bpe_50k.json",
     ranks: str = "byte_bpe_50k.tiktoken",
-    added_tokens: bool = False,
+    added_tokens: bool = True,
 ) -> DataFrame:
     """One row per piece: ``doc`` (struct of ``keep``), piece, start, length, ids_crc32,
     sequence_id, offset, and the ids themselves if asked for."""
     rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), docs["text"].alias("text"))
-    names = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-    fields = [T.StructField("doc", rows.schema["doc"].dataType), *(T.StructField(n, T.LongType()) for n in names)]
+    names = ("start", "length", "ids_crc32", "sequence_id", "offset")
+    fields = [T.StructField("doc", rows.schema["doc"].dataType), T.StructField("piece", T.IntegerType())]
+    fields += [T.StructField(n, T.LongType()) for n in names]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
@@ -151,14 +152,13 @@ def pack(
                 found.sort(key=lambda x: -x[0])
                 placed = [bins.place(x[0]) for x in found]
                 columns = [
-                    [x[2] for x in found],
                     [x[3] for x in found],
                     [x[0] for x in found],
                     [x[4] for x in found],
                     [p[0] for p in placed],
                     [p[1] for p in placed],
                 ]
-                arrays = [part.column("doc").take(pa.array([x[1] for x in found], pa.int64()))]
+                arrays = [part.column("doc").take(pa.array([x[1] for x in found], pa.int64())), pa.array([x[2] for x in found], pa.int32())]
                 arrays += [pa.array(c, pa.int64()) for c in columns]
                 if with_ids:
                     arrays.append(pa.array([x[5].astype(np.int32) for x in found], pa.list_(pa.int32())))
