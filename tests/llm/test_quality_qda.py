@@ -1,11 +1,12 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from lectern.llm import quality_qda as qq
 from lectern.llm import queries
 
-from tests.llm.cases import TEXTS, count, empty, frame, held_out, labels, table
+from tests.llm.cases import SPACED, TEXTS, count, empty, frame, held_out, labels, table
 
 
 def test_held_out_accuracy_and_range(spark, small_dir):
@@ -35,6 +36,37 @@ def test_score_is_the_difference_of_two_log_densities():
     assert np.allclose(model.score(x), 1 / (1 + np.exp(density[0] - density[1])))
 
 
+def _plain_statistics(text):
+    """The eleven statistics of one text, counted one by one."""
+    text = text or ""
+    words, body = [w.encode() for w in SPACED.findall(text)], text.encode()
+    n, size, prior = len(words), len(body), 20.0
+    share = lambda x, of, usual: math.sqrt((x + usual * prior) / (of + prior))
+    among = lambda marks: sum(b in marks for b in body)
+    mean = (sum(map(len, words)) + 5.0 * prior) / (n + prior)
+    squares = (sum(len(w) ** 2 for w in words) + 34.0 * prior) / (n + prior)
+    times = Counter(words)
+    return [
+        math.log1p(mean),
+        math.log1p(math.sqrt(max(squares - mean**2, 0))),
+        share(among(b"#*$%&|<>~^{}\\"), size, 0.0),
+        share(among(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), size, 0.02),
+        share(among(b".,;:!?'\"()"), size, 0.03),
+        share(sum(chr(b).isalnum() if b < 0x80 else True for b in body), size, 0.8),
+        share(body.count(b"\n"), size, 0.0),
+        share(len(times), n, 0.8),
+        share(max(times.values(), default=0), n, 0.06),
+        share(sum(a == b for a, b in zip(words, words[1:])), n, 0.0),
+        share(sum(len(w) == 1 for w in words), n, 0.03),
+    ]
+
+
+def test_statistics_equal_plain_counting(spark, small_dir):
+    texts = [t for _, t in TEXTS] + [r.text for r in table(spark, small_dir, "documents").select("text").collect()]
+    made = qq.statistics(pa.array(texts, pa.string()))
+    assert np.allclose(made, [_plain_statistics(t) for t in texts], rtol=0, atol=1e-9)
+
+
 def test_statistics_of_a_text_do_not_depend_on_its_neighbours():
     texts = [t for _, t in TEXTS]
     together = qq.statistics(pa.array(texts, pa.string()))

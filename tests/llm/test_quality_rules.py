@@ -9,7 +9,7 @@ from lectern.llm import queries
 from lectern.llm.text import SPACED as TABLE
 from lectern.llm.text import Words
 
-from tests.llm.cases import SPACED, TEXTS, count, empty, frame, labels, table, texts_of
+from tests.llm.cases import SPACED, TEXTS, count, empty, frame, held_out, labels, table, texts_of
 
 
 def _brute(text):
@@ -47,6 +47,15 @@ def test_query(spark, small_dir):
     assert len(rows) == len(texts) and np.mean(right) >= 0.97
 
 
+def test_verdict_on_labels_the_fit_did_not_see(spark, small_dir):
+    docs = table(spark, small_dir, "documents")
+    told = table(spark, small_dir, "labels")
+    model = qr.fit(docs, told.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1"))
+    known = {r.doc_id: r.quality for r in told.collect() if held_out(r.doc_id, 3)}
+    rows = [r for r in qr.judge(docs, model).collect() if r.doc.doc_id in known and not r.base_failed]
+    assert len(rows) > 20 and np.mean([r.kept == (known[r.doc.doc_id] == 1) for r in rows]) >= 0.95
+
+
 def test_probability_is_the_mean_weight_of_words_and_grams():
     rng = np.random.default_rng(2)
     model = qr.Calibrated(rng.normal(size=2 << qr.BITS), 1.5, -0.2)
