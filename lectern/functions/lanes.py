@@ -15,6 +15,10 @@ BITS = 64
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: cells of a chunk's match table
 _CELLS = 4 << 20
+#: strands of a chunk of window searches
+_STRANDS = 1 << 18
+#: numbers of a pattern up to which many lanes beat one wide number
+_WIDE = 8
 #: lanes of a chunk: their states fit the processor's cache
 _LANES = 4096
 
@@ -158,18 +162,35 @@ class Pairing:
         return out
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one machine word per row of bits."""
+    if not a or not b:
+        return 0
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        hit = row & places.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def common_subsequences(patterns: Sequence[str], texts: Sequence[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Longest common subsequence of every pair (pattern ``i``, text ``j``), of any length.
 
-    A pattern takes as many 64-bit numbers as it needs; pairs go in classes of about equal
-    length, so a long one does not widen the others.
+    A pattern takes as many 64-bit numbers as it needs, or one wide number beyond ``_WIDE`` of
+    them; pairs go in classes of about equal length, so a long one does not widen the others.
     """
     a = np.fromiter(map(len, patterns), dtype=np.int64, count=len(patterns))
     b = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     out = np.zeros(i.size, dtype=np.int64)
     blocks = -(-a[i] // BITS)
     kind = np.ceil(np.log2(np.maximum(blocks, 1))).astype(np.int64) * 64 + np.ceil(np.log2(np.maximum(b[j], 1))).astype(np.int64)
-    live = (a[i] > 0) & (b[j] > 0)
+    live = (a[i] > 0) & (b[j] > 0) & (blocks <= _WIDE)
+    for k in np.flatnonzero(blocks > _WIDE).tolist():
+        out[k] = common_subsequence(patterns[i[k]], texts[j[k]])
     for k in np.unique(kind[live]).tolist():
         some = np.flatnonzero(live & (kind == k))
         some = some[np.argsort(i[some], kind="stable")]
@@ -222,3 +243,54 @@ def _subsequence_lanes(patterns, texts, i, j, a, b, width) -> np.ndarray:
     out = np.empty_like(found)
     out[order] = found
     return out
+
+
+def best_windows(patterns: Sequence[str], texts: Sequence[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Best indel percent of pattern ``i`` against windows of its length in text ``j``, for every pair.
+
+    Windows may hang over either end; the text must be as long as the pattern, which must not be
+    empty. One pass per pair over pattern x text serves all windows: strands enter at the letters
+    of both, two that meet cross where letters are equal or they have not crossed before, and a
+    window lacks one common letter for each strand that enters and leaves the text inside it.
+    """
+    a = np.fromiter(map(len, patterns), dtype=np.int64, count=len(patterns))
+    b = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    out = np.zeros(i.size)
+    kind = np.ceil(np.log2(a[i])).astype(np.int64) * 64 + np.ceil(np.log2(b[j])).astype(np.int64)
+    for k in np.unique(kind).tolist():
+        some = np.flatnonzero(kind == k)
+        step = int(np.clip(_STRANDS // int(a[i[some]].max() + b[j[some]].max()), 1, _LANES))
+        for at in range(0, some.size, step):
+            part = some[at : at + step]
+            out[part] = _combed([patterns[x] for x in i[part]], [texts[x] for x in j[part]], a[i[part]], b[j[part]])
+    return out
+
+
+def _combed(patterns, texts, a, b) -> np.ndarray:
+    n, m, lanes = int(a.max()), int(b.max()), a.size
+    rows = _letters(patterns, n).astype(np.int32)[:, ::-1]  # the last letter first: a diagonal is two plain slices
+    columns = _letters(texts, m).astype(np.int32)
+    used, there = np.arange(n - 1, -1, -1) < a[:, None], np.arange(m) < b[:, None]
+    # strands beyond a pattern or text never cross
+    rows, columns = np.where(used, rows, -1), np.where(there, columns, -2)
+    across = np.where(used, np.arange(n, dtype=np.int32), np.int32(-1))
+    along = np.where(there, np.arange(n, n + m, dtype=np.int32), np.int32(n + m))
+    for d in range(n + m - 1):
+        low, high = max(0, d - m + 1), min(n - 1, d)
+        side, down = slice(n - 1 - high, n - low), slice(d - high, d - low + 1)
+        left, top = across[:, side], along[:, down]
+        cross = (rows[:, side] == columns[:, down]) | (left > top)
+        across[:, side], along[:, down] = np.where(cross, top, left), np.where(cross, left, top)
+    # windows begin from n - 1 letters before the text to its last letter
+    inside = np.zeros((lanes, n + m + 1), dtype=np.int32)
+    lane, leave = np.nonzero((along >= n) & there)
+    enter = along[lane, leave] - n
+    held = leave - enter < a[lane]
+    lane, leave, enter = lane[held], leave[held], enter[held]
+    np.add.at(inside, (lane, leave - a[lane] + n), 1)
+    np.add.at(inside, (lane, enter + n), -1)
+    inside = np.cumsum(inside, axis=1)[:, : n + m - 1]
+    begin = np.arange(1 - n, m)
+    width = np.minimum(begin + a[:, None], b[:, None]) - np.maximum(begin, 0)
+    percent = 200.0 * (width - inside) / (a[:, None] + np.maximum(width, 0))
+    return np.where(width > 0, percent, 0.0).max(axis=1)

@@ -1,13 +1,16 @@
-"""Word similarity in the JVM, and indel ratios as Arrow UDFs."""
+"""Word similarity in the JVM, and indel ratios as Arrow UDFs, all pairs of a batch in lanes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions import lanes
+from lectern.functions.lanes import common_subsequence
 
 def word_similarity(a: Column, b: Column) -> Column:
     """``1 - edits / longest`` in doubles; equal words give 1, one empty word 0."""
@@ -19,21 +22,6 @@ def word_similarity(a: Column, b: Column) -> Column:
     )
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word per row of bits."""
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & places.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
 def indel_percent(a: str, b: str) -> float:
     """``200 * lcs / (len(a) + len(b))``; two empty texts count as equal."""
     total = len(a) + len(b)
@@ -65,16 +53,61 @@ def partial_percent(a: str, b: str, swapped: bool = False) -> float:
     return best if n < m or best == 100.0 or swapped else max(best, partial_percent(long, short, True))
 
 
+def _paired(a: pa.Array, b: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct texts of two columns, the numbers of each row's shorter and longer text, and their lengths."""
+    texts, at = lanes.distinct(pa.concat_arrays([a, b]))
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    i, j = at[: len(a)], at[len(a) :]
+    turned = size[i] > size[j]
+    short, long = np.where(turned, j, i), np.where(turned, i, j)
+    return texts, short, long, size[short], size[long]
+
+
+def indel_percents(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """``indel_percent`` of every row of two columns; a null counts as empty."""
+    texts, short, long, n, m = _paired(a, b)
+    common = lanes.common_subsequences(texts, texts, short, long)
+    return np.where(n + m == 0, 100.0, 200.0 * common / np.maximum(n + m, 1))
+
+
+def partial_percents(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """``partial_percent`` of every row of two columns; a null counts as empty."""
+    texts, short, long, n, m = _paired(a, b)
+    out = np.where(m == 0, 100.0, 0.0)
+    some, even = np.flatnonzero(n > 0), np.flatnonzero((n > 0) & (n == m))
+    # texts of one length are tried both ways
+    rows = np.concatenate([some, even])
+    best = lanes.best_windows(texts, texts, np.concatenate([short[some], long[even]]), np.concatenate([long[some], short[even]]))
+    np.maximum.at(out, rows, best)
+    return out
+
+
+def _strings(texts: pd.Series) -> pa.Array:
+    return pa.array(texts, pa.string(), from_pandas=True)
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Indel ratio in percent, for pairs that a join has already narrowed down."""
-    return pd.Series(
-        np.fromiter((indel_percent(x, y) for x, y in zip(a, b)), float, len(a))
-    )
+    """Indel ratio in percent, for pairs that a join has already narrowed down; null if a text is."""
+    return pd.Series(indel_percents(_strings(a), _strings(b))).where((a.notna() & b.notna()).to_numpy())
 
 
 @F.pandas_udf(T.DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        np.fromiter((partial_percent(x, y) for x, y in zip(a, b)), float, len(a))
+    """Best indel ratio in percent of the shorter text against windows of the longer; null if a text is."""
+    return pd.Series(partial_percents(_strings(a), _strings(b))).where((a.notna() & b.notna()).to_numpy())
+
+
+def letter_counts(text: Column) -> Column:
+    """Map from each letter of a text to how often it occurs."""
+    letters = F.split(text, "")
+    return F.map_from_entries(
+        F.transform(F.array_distinct(letters), lambda c: F.struct(c.alias("key"), F.size(F.filter(letters, lambda x: x == c)).alias("value")))
+    )
+
+
+def shared_letters(a: Column, b: Column) -> Column:
+    """Letters two maps of counts have in common: no common subsequence is longer."""
+    return F.aggregate(
+        F.map_entries(a), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0)))
     )

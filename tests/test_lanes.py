@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lectern.functions import lanes
-from lectern.functions.similarity import common_subsequence
+from lectern.functions.similarity import common_subsequence, indel_percent, indel_percents, partial_percent, partial_percents
 
 WORD = st.text(alphabet="abcdeسبمż\U0001f600", max_size=12)
 
@@ -63,3 +63,33 @@ def test_common_subsequences(patterns, texts):
 def test_distinct():
     words, places = lanes.distinct(pa.array(["b", "a", "b", ""]))
     assert [words[p] for p in places] == ["b", "a", "b", ""] and len(words) == 3
+
+
+TEXT = st.text(alphabet="abسż\U0001f600 ", max_size=30)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.none() | TEXT, st.none() | TEXT), max_size=12))
+def test_ratios_of_columns(pairs):
+    a, b = pa.array([x for x, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.string())
+    plain = [(x or "", y or "") for x, y in pairs]
+    assert indel_percents(a, b).tolist() == [indel_percent(x, y) for x, y in plain]
+    assert partial_percents(a, b).tolist() == [partial_percent(x, y) for x, y in plain]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abc", min_size=1, max_size=12), st.text(alphabet="abc", max_size=25)), min_size=1, max_size=10))
+def test_best_windows_equals_all_windows(pairs):
+    pairs = [(p, p[::-1] + t) for p, t in pairs]
+    at = np.arange(len(pairs))
+    got = lanes.best_windows([p for p, _ in pairs], [t for _, t in pairs], at, at)
+    assert got.tolist() == [max(indel_percent(p, t[max(0, k) : k + len(p)]) for k in range(1 - len(p), len(t))) for p, t in pairs]
+
+
+def test_long_texts():
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    pairs = [(make(n), make(m)) for n, m in ((511, 700), (513, 513), (2000, 30), (90, 3000), (1, 5000))]
+    a, b = pa.array([x for x, _ in pairs]), pa.array([y for _, y in pairs])
+    assert indel_percents(a, b).tolist() == [indel_percent(x, y) for x, y in pairs]
+    assert partial_percents(a, b).tolist() == [partial_percent(x, y) for x, y in pairs]

@@ -1,11 +1,13 @@
 """Similarities against plain dynamic programming."""
 
+from collections import Counter
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.functions.similarity import (
-    common_subsequence, indel_percent, partial_percent, word_similarity,
+    common_subsequence, indel_percent, indel_ratio, letter_counts, partial_percent, partial_ratio, shared_letters, word_similarity,
 )
 from lectern.operators.text_jobs import similar_words
 from lectern.streaming.recitation import likeness
@@ -70,6 +72,29 @@ def test_word_similarity_column(spark):
     assert got == [similarity(a, b) for a, b in pairs]
 
 
+def test_shared_letters_bound_the_subsequence(spark):
+    import random
+
+    rng = random.Random(6)
+    make = lambda: "".join(rng.choice("abcż\U0001f600 ") for _ in range(rng.randint(0, 20)))
+    pairs = [(make(), make()) for _ in range(200)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", shared_letters(letter_counts(F.col("a")), letter_counts(F.col("b"))).alias("n")).collect()
+    for r in got:
+        assert r.n >= lcs(r.a, r.b)
+        if r.a and r.b:
+            assert r.n == sum((Counter(r.a) & Counter(r.b)).values())
+
+
+def test_ratio_columns(spark):
+    pairs = [("", ""), ("", "a"), ("abc", "xabcx"), (None, "a"), ("kitten", "sitting"), ("a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", indel_ratio("a", "b").alias("r"), partial_ratio("a", "b").alias("p")).collect()
+    for r in got:
+        known = r.a is not None and r.b is not None
+        assert r.r == (indel_percent(r.a, r.b) if known else None) and r.p == (partial_percent(r.a, r.b) if known else None)
+
+
 @settings(max_examples=1, deadline=None)
 @given(st.just(0))
 def test_similar_words_misses_none(_):
