@@ -86,5 +86,22 @@ def sim(a: str, b: str) -> str:
     )
 
 
+def letters(c: str) -> str:
+    return f"list_transform(range(1, length({c}) + 1), lambda i: substr({c}, i, 1))"
+
+
+def common_letters(form: str, chars: str) -> str:
+    """Longest common subsequence of a form of at most 60 letters and a list of letters.
+
+    One bit a letter of the form; a bit falls to 0 where the subsequence grows.
+    """
+    full = f"((1::BIGINT << length({form})) - 1)"
+    masks = (
+        f"list_transform({chars}, lambda c: list_sum(list_transform(range(0, length({form})), "
+        f"lambda p: CASE WHEN substr({form}, p + 1, 1) = c THEN 1::BIGINT << p ELSE 0::BIGINT END))::BIGINT)"
+    )
+    return f"(length({form}) - bit_count(list_reduce({masks}, lambda v, m: ((v + (v & m)) | (v & ({full} - m))) & {full}, {full})))"
+
+
 def with_(ctes: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}\n{body}"

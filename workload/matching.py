@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from lectern.functions.session import through_table
 from lectern.functions.text import normalize_segment, split_words
 from lectern.operators import align, index, locate, matching, openings, timing
+from lectern.operators.text_jobs import OPENING_KEY, REFUGE_KEYS
 from lectern.plans import alignment
 from lectern.plans.corpus_tables import _once, arabic_corpus, arabic_words, corpus_words, packed_corpus
 from lectern.sources import bindings
 from lectern.sources.bindings import fold_accents, table
-from workload.base import ARABIC_WORDS, WORDS, norm_segment, sim, with_
+from workload.base import ARABIC_WORDS, WORDS, common_letters, letters, norm_segment, sim, with_
 from workload.timing import _segments, r3
 from workload.texts import SPOKEN
 
@@ -263,6 +264,27 @@ segs AS (SELECT session AS recording, chunk + 2 AS segment_idx, CASE WHEN chunk
   UNION ALL SELECT DISTINCT sura_no, 0, '{REFUGE}' FROM words WHERE sura_no % 3 < 2
   UNION ALL SELECT DISTINCT sura_no, 1, CASE WHEN sura_no % 8 = 1 THEN '{' '.join(OPENING.split()[:2])}' ELSE '{OPENING}' END FROM words WHERE sura_no % 4 < 2)"""
 FORM = norm_segment("text")
+
+
+def _values(rows):
+    return ", ".join("(" + ", ".join(str(c) if isinstance(c, int) else f"'{c}'" for c in row) + ")" for row in rows)
+
+
+_SPOKEN_FORMS = [(kind, f) for kind, forms in (("refuge", openings.REFUGE_FORMS), ("opening", openings.OPENING_FORMS)) for f in sorted({openings._plain(t) for t in forms})]
+_LETTER_FORMS = [(c, f) for c, t in openings.LETTER_CHAPTERS.items() for f in sorted({openings._plain(t), *openings._plain(t).split()})]
+OPENED = f"""{SEGMENTS},
+formed AS (SELECT *, {FORM} AS f, segment_idx * 3.0::DOUBLE AS start, row_number() OVER (PARTITION BY recording ORDER BY segment_idx) - 1 AS position FROM segs),
+forms(kind, form) AS (VALUES {_values(_SPOKEN_FORMS)}),
+letter_forms(chapter, form) AS (VALUES {_values(_LETTER_FORMS)}),
+tried AS (SELECT DISTINCT f, kind, form FROM formed JOIN forms ON CASE kind WHEN 'refuge' THEN {' OR '.join(f"contains(f, '{k}')" for k in REFUGE_KEYS)} ELSE contains(f, '{OPENING_KEY}') END
+  UNION SELECT f, chapter || '', form FROM formed JOIN letter_forms ON chapter = recording WHERE length(f) > 0 AND length(f) <= 3 * length(form) + 5),
+rated AS (SELECT f, kind, max(200.0::DOUBLE * {common_letters('form', letters('f'))} / (length(form) + length(f)) / 100.0::DOUBLE) AS r FROM tried GROUP BY ALL),
+likened AS (SELECT s.*, a.r AS refuge, b.r AS opening, coalesce(c.r >= 0.5, FALSE) AS is_letters FROM formed s LEFT JOIN rated a ON a.f = s.f AND a.kind = 'refuge'
+  LEFT JOIN rated b ON b.f = s.f AND b.kind = 'opening' LEFT JOIN rated c ON c.f = s.f AND c.kind = s.recording || ''),
+kinds AS (SELECT *, CASE WHEN refuge >= 0.5 THEN 'isti''adha' WHEN opening >= 0.5 THEN 'basmala' END AS heard_as, {' + '.join(f"contains(f, '{w}')::INTEGER" for w in openings.OPENING_WORDS)} >= 2 AS partial FROM likened WHERE position < 4),
+labelled AS (SELECT *, CASE WHEN position = 0 AND heard_as = 'isti''adha' THEN heard_as WHEN position <= 1 AND heard_as = 'basmala' THEN heard_as WHEN position <= 1 AND partial THEN 'basmala_partial'
+  WHEN position <= 2 AND is_letters THEN 'muqattaat' ELSE 'ayah1' END AS t FROM kinds),
+paused AS (SELECT recording, max(start + 2.5::DOUBLE) FILTER (t = 'isti''adha') AS after, min(start) FILTER (t = 'ayah1') AS before, count(*) FILTER (t IN ('basmala', 'basmala_partial')) AS n FROM labelled GROUP BY recording)"""
 ADJUST = f"""{SPOKEN},
 heads AS (SELECT sura_no, min(global_pos) AS first, max(global_pos) AS last FROM words GROUP BY sura_no),
 seg0 AS (SELECT *, unnest(range(0, (last - first) // 9 + 1)) AS i FROM heads),
@@ -300,5 +322,18 @@ fin AS (SELECT *, CASE WHEN complete THEN total_words - n_errors ELSE greatest(r
         "SELECT session || '/' || st.page AS session, w.flat_index, word_ref, w.flat_index < ptr AS revealed, list_contains(errors, w.flat_index) AS is_error, w.flat_index = ptr AS is_current, ptr * 100.0::DOUBLE / page_words AS progress FROM st JOIN words w ON w.page = st.page", True,
     ),
     "partial_basmala": with_(SEGMENTS, "SELECT recording, segment_idx, " + " + ".join(f"contains({FORM}, '{w}')::INTEGER" for w in openings.OPENING_WORDS) + " >= 2 AS partial FROM segs"),
+    "detect_special": with_(OPENED, "SELECT recording, segment_idx, CASE WHEN refuge >= 0.6 THEN 'isti''adha' WHEN opening >= 0.6 THEN 'basmala' END AS special FROM likened"),
+    "muqattaat_segment": with_(OPENED, "SELECT recording, segment_idx, is_letters FROM likened"),
+    "classify_first_segments": with_(
+        OPENED, "SELECT recording, segment_idx, t AS segment_type, CASE t WHEN 'basmala_partial' THEN 0.7 WHEN 'muqattaat' THEN 0.85 WHEN 'ayah1' THEN 0.8 ELSE 0.9 END::DOUBLE AS confidence FROM labelled"
+    ),
+    "opening_structure": with_(
+        OPENED, "SELECT recording, count(*) FILTER (t = 'isti''adha') AS n_refuge, count(*) FILTER (t IN ('basmala', 'basmala_partial')) AS n_opening, count(*) FILTER (t = 'muqattaat') AS n_letters FROM labelled GROUP BY recording"
+    ),
+    "insert_missing_basmala": with_(
+        OPENED,
+        f"""SELECT recording, recording AS sura_no, -1::BIGINT AS segment_idx, after + 0.1::DOUBLE AS start, after + 0.1::DOUBLE + least(3.0::DOUBLE, (before - after) * 0.5::DOUBLE) AS "end", '{openings.OPENING_TEXT}' AS text
+FROM paused WHERE n = 0 AND recording <> 9 AND recording NOT IN ({', '.join(map(str, openings.LETTER_CHAPTERS))}) AND before - after > 2.0""",
+    ),
     "adjust_segment_times": with_(ADJUST, f"SELECT recording, segment_idx, {r3('s')} AS new_start, {r3('greatest(s + 0.1::DOUBLE, t1)')} AS new_end FROM adj"),
 }

@@ -9,7 +9,7 @@ from lectern.operators import index, text_jobs
 from lectern.plans.corpus_tables import arabic_corpus, arabic_words, corpus_words
 from lectern.sources.bindings import fold_accents, table
 from workload.base import (
-    ARABIC_VERSES, ARABIC_WORDS, SEGMENT_MARKS, WORDS, fold, norm_align, norm_search, norm_segment, sim, strip_number, tokens, trim_all, with_,
+    ARABIC_VERSES, ARABIC_WORDS, SEGMENT_MARKS, WORDS, common_letters, fold, letters, norm_align, norm_search, norm_segment, sim, strip_number, tokens, trim_all, with_,
 )
 from lectern.functions import phonemes as ph
 from lectern.functions import text as tx
@@ -182,6 +182,13 @@ FROM h LEFT JOIN groups g ON g.g = {norm_search('head')}""",
         "SELECT sura_no, aya_no, CAST(sum(n_phonemes) AS BIGINT) AS n_phonemes, count(*) AS n_words, "
         "CAST(greatest(1, least(round_even(sum(n_phonemes) / 3.0::DOUBLE, 0), 200)) AS BIGINT) AS estimated_words FROM spoken GROUP BY ALL",
     ),
+    "indel_words": with_(
+        f"""{NEAR},
+way AS (SELECT asked, word, asked AS short, word AS long FROM near WHERE length(asked) <= length(word) UNION ALL SELECT asked, word, word, asked FROM near WHERE length(asked) >= length(word)),
+pieces AS (SELECT *, unnest(list_transform(range(1, length(short) + length(long)), lambda e: substr(long, greatest(1, e - length(short) + 1)::BIGINT, least(e, length(short), length(short) + length(long) - e)::BIGINT))) AS piece FROM way),
+best AS (SELECT asked, word, max(200.0::DOUBLE * {common_letters('short', letters('piece'))} / (length(short) + length(piece))) AS partial FROM pieces GROUP BY ALL)""",
+        f"SELECT asked, word, 200.0::DOUBLE * {common_letters('asked', letters('word'))} / (length(asked) + length(word)) AS ratio, partial FROM near JOIN best USING (asked, word)",
+    ),
     "similar_words": with_(NEAR, "SELECT asked, word, similarity, row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, word) = 1 AS is_best FROM near"),
     "parse_word_ref": """SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN user_id END AS sura_no, CASE WHEN event_id % 9 <> 0 THEN event_id % 12 + 1 END AS aya_no,
 CASE WHEN event_id % 9 <> 0 THEN event_id % 5 + 1 END AS word_no FROM events""",

@@ -402,6 +402,55 @@ def clips(source):
   FROM {source} JOIN audio USING (recording) WHERE least(length_ms, trunc("end" * 1000)::BIGINT) > greatest(0, trunc(start * 1000)::BIGINT))"""
 
 
+# the walks below follow their rules one verse after the other, with what was moved as state
+HALVED = f"""{SPANS},
+line AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY aya_no) AS i, {{'s': {r3('start')}, 'e': {r3('"end"')}}} AS sig FROM spans),
+walk(recording, i, owner, moves) AS (
+  SELECT DISTINCT recording, 0::BIGINT, MAP([]::STRUCT(s DOUBLE, e DOUBLE)[], []::STRUCT(aya BIGINT, start DOUBLE)[]), []::STRUCT(aya BIGINT, s DOUBLE, e DOUBLE)[] FROM spans
+  UNION ALL
+  SELECT recording, i, CASE WHEN had IS NULL THEN map_concat(owner, MAP([sig], [{{'aya': aya_no, 'start': start}}]))
+      ELSE map_concat(map_concat(owner, MAP([{{'s': {r3('had.start')}, 'e': {r3('mid - 0.001::DOUBLE')}}}], [had])), MAP([{{'s': {r3('mid')}, 'e': sig.e}}], [{{'aya': aya_no, 'start': mid}}])) END,
+    CASE WHEN had IS NULL THEN [] ELSE [{{'aya': had.aya, 's': NULL::DOUBLE, 'e': mid - 0.001::DOUBLE}}, {{'aya': aya_no, 's': mid, 'e': NULL::DOUBLE}}] END
+  FROM (SELECT l.*, w.owner, map_extract_value(w.owner, l.sig) AS had, l.sig.s + (l.sig.e - l.sig.s) / 2 AS mid
+    FROM walk w JOIN line l ON l.recording = w.recording AND l.i = w.i + 1)),
+moved AS (SELECT recording, i, unnest(moves) AS m FROM walk),
+last AS (SELECT recording, m.aya AS aya_no, arg_max(m.s, i) AS s, arg_max(m.e, i) AS e FROM moved GROUP BY ALL)"""
+FILLED = f"""{SPANS},
+wanted AS (SELECT recording, n_verses, unnest(range(1, greatest(n_verses, last) + 1)) AS aya_no
+  FROM (SELECT user_id AS recording, max(seq) AS n_verses FROM rec GROUP BY user_id) JOIN (SELECT recording, max(aya_no) AS last FROM spans GROUP BY recording) USING (recording)),
+line AS (SELECT w.recording, w.aya_no, s.start, s."end", row_number() OVER (PARTITION BY w.recording ORDER BY w.aya_no) AS i,
+    first_value(s.start IGNORE NULLS) OVER later AS next_start, first_value(s."end" IGNORE NULLS) OVER later AS next_end
+  FROM wanted w LEFT JOIN spans s ON s.recording = w.recording AND s.aya_no = w.aya_no WHERE s.aya_no IS NOT NULL OR w.aya_no <= n_verses
+  WINDOW later AS (PARTITION BY w.recording ORDER BY w.aya_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+walk(recording, i, was, now_, pushed) AS (
+  SELECT DISTINCT recording, 0::BIGINT, NULL::STRUCT(aya BIGINT, s DOUBLE, e DOUBLE, made BOOLEAN), NULL::STRUCT(aya BIGINT, s DOUBLE, e DOUBLE, made BOOLEAN), NULL::DOUBLE FROM spans
+  UNION ALL
+  SELECT recording, i,
+    CASE WHEN p IS NULL THEN NULL WHEN takes THEN {{'aya': p.aya, 's': p.s, 'e': cut, 'made': p.made}} ELSE p END,
+    CASE WHEN start IS NOT NULL THEN {{'aya': aya_no, 's': coalesce(pushed, start), 'e': "end", 'made': FALSE}}
+      WHEN p IS NULL THEN {{'aya': aya_no, 's': {r3('next_start')}, 'e': {r3('share')}, 'made': TRUE}}
+      WHEN takes THEN {{'aya': aya_no, 's': {r3('cut')}, 'e': {r3('p.e')}, 'made': TRUE}}
+      ELSE {{'aya': aya_no, 's': {r3('p.e')}, 'e': {r3('after')}, 'made': TRUE}} END,
+    CASE WHEN start IS NOT NULL THEN NULL WHEN p IS NULL THEN share ELSE pushed END
+  FROM (SELECT *, start IS NULL AND p IS NOT NULL AND coalesce(after <= p.e, TRUE) AS takes FROM (
+    SELECT l.*, w.now_ AS p, w.pushed, coalesce(w.pushed, l.next_start) AS after, w.now_.e - (w.now_.e - w.now_.s) * 0.3::DOUBLE AS cut,
+      l.next_start + (l.next_end - l.next_start) * 0.3::DOUBLE AS share
+    FROM walk w JOIN line l ON l.recording = w.recording AND l.i = w.i + 1))),
+ended AS (SELECT recording, was AS v FROM walk WHERE was IS NOT NULL UNION ALL SELECT recording, arg_max(now_, i) FROM walk WHERE i > 0 GROUP BY recording)"""
+PAUSES = f"""{EVENT_WORDS},
+apart AS (SELECT *, row_number() OVER t AS n, lead(start) OVER t - "end" AS gap, ("end" + lead(start) OVER t) / 2 AS mid FROM ew WINDOW t AS (PARTITION BY recording, aya_no ORDER BY start, "at")),
+wide AS (SELECT recording, aya_no, count(DISTINCT CASE WHEN word_ref <> '' THEN split_part(word_ref, ':', 2) END) AS n_named,
+  arg_max(gap, {{'a': gap, 'b': -n}}) FILTER (gap > 0) AS gap, arg_max(mid, {{'a': gap, 'b': -n}}) FILTER (gap > 0) AS mid FROM apart GROUP BY ALL),
+line AS (SELECT *, row_number() OVER o AS i, lead(start) OVER o AS ns, lead("end") OVER o AS ne, lead(n_words) OVER o AS nn FROM ev JOIN wide USING (recording, aya_no) WINDOW o AS (PARTITION BY recording ORDER BY aya_no)),
+walk(recording, i, aya_no, start, "end", pushed) AS (
+  SELECT DISTINCT recording, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM ev
+  UNION ALL
+  SELECT recording, i, aya_no, begin_, CASE WHEN far OR late THEN mid ELSE "end" END, CASE WHEN far OR late THEN mid END
+  FROM (SELECT *, slow AND gap > 0.5 AND ne - CASE WHEN far THEN mid ELSE ns END < 2.0 AS late FROM (
+    SELECT *, slow AND gap > {timing.WIDE_GAP}::DOUBLE AND gap > pace * {timing.WIDE_RATIO}::DOUBLE AND mid < "end"
+      AND (ne - ns < {timing.SHORT_NEXT}::DOUBLE OR (nn > {timing.BRISK_WORDS} AND (ne - ns) / nn < {timing.BRISK_WORD}::DOUBLE)) AS far FROM (
+      SELECT *, ("end" - begin_) / n_words AS pace, coalesce("end" - begin_ > 30.0 AND ("end" - begin_) / n_words > 2.0 AND n_named > 1 AND gap IS NOT NULL AND ns IS NOT NULL, FALSE) AS slow FROM (
+        SELECT l.*, coalesce(w.pushed, l.start) AS begin_ FROM walk w JOIN line l ON l.recording = w.recording AND l.i = w.i + 1)))))"""
 ASR = f"{VERSES}, {EVENT_WORDS}, {clips('ev')}, rows AS (SELECT c.*, aya_text, sura_name_en, format('{{:03d}}_{{:03d}}.wav', recording, c.aya_no) AS path FROM clips c LEFT JOIN verses v ON v.sura_no = recording AND v.aya_no = c.aya_no)"
 ALIGNED = f"{KEPT}, texts AS (SELECT vt.*, aya_text FROM vt LEFT JOIN verses v ON v.sura_no = recording AND v.aya_no = vt.aya_no)"
 STATUS = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'success' END"
@@ -423,6 +472,9 @@ placed AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY recording, segment_idx O
         """SELECT recording, aya_no, CASE WHEN start < pe THEN (pe + start) / 2 + 0.001::DOUBLE WHEN start > pe + 0.05::DOUBLE THEN start WHEN pe IS NOT NULL THEN pe + 0.001::DOUBLE ELSE start END AS start,
 CASE WHEN ns < "end" THEN ("end" + ns) / 2 - 0.001::DOUBLE WHEN ns > "end" + 0.05::DOUBLE THEN ns - 0.001::DOUBLE ELSE "end" END AS "end" FROM near""",
     ),
+    "split_duplicate_spans": with_(HALVED, """SELECT recording, aya_no, coalesce(s, start) AS start, coalesce(e, "end") AS "end" FROM spans LEFT JOIN last USING (recording, aya_no)""", True),
+    "interpolate_missing": with_(FILLED, """SELECT recording, v.aya AS aya_no, v.s AS start, v.e AS "end", v.made AS interpolated FROM ended""", True),
+    "repair_durations": with_(PAUSES, """SELECT w.recording, w.aya_no, w.start, w."end", n_words FROM walk w JOIN ev ON ev.recording = w.recording AND ev.aya_no = w.aya_no""", True),
     "missing_verses": with_(SPANS, "SELECT user_id AS recording, seq AS aya_no FROM rec WHERE event_id % 11 = 0"),
     "flag_durations": with_(
         f"""{EVENT_WORDS}, near AS (SELECT *, "end" - start AS d, lag("end" - start) OVER (PARTITION BY recording ORDER BY aya_no) AS pd FROM ev)""",
