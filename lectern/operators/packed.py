@@ -103,6 +103,15 @@ class Corpus:
         packed = parts.filter(F.size("w") > 0).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("low", "w"))).alias("parts"))
         return packed.select("block", (F.col("block") * width).alias("base"), F.flatten(F.col("parts")["w"]).alias("words"))
 
+    def parts(self, *by: str) -> DataFrame:
+        """All words of each part of the corpus, in order, in a row: ``by``, flat_index of the
+        first word, texts, norms. Name a bounded part, such as what a chapter has on a page."""
+        verse = F.struct("start", (F.col("start") - F.col("page_start")).alias("flat"), "texts", F.coalesce("norms", "texts").alias("norms"))
+        held = self.verses.filter(F.size("texts") > 0).groupBy(*by).agg(F.array_sort(F.collect_list(verse)).alias("v"))
+        return held.select(
+            *by, F.col("v")[0]["flat"].alias("flat_index"), F.flatten(F.col("v")["texts"]).alias("texts"), F.flatten(F.col("v")["norms"]).alias("norms")
+        )
+
     def places(self, rows: DataFrame, at: str = "global_pos") -> DataFrame:
         """``rows`` with the verse and page of the corpus position ``at``; unknown ones are dropped."""
         end = F.col("start") + F.size("texts") - 1

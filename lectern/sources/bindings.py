@@ -161,19 +161,19 @@ def aligned_segments(words: DataFrame, size: int = 9) -> DataFrame:
     )
 
 
-def recitations(words: DataFrame, size: int = 8, by: tuple[str, ...] = ("sura_no",)) -> DataFrame:
+def recitations(words: DataFrame, size: int = 8) -> DataFrame:
     """Every chapter recited in chunks of ``size`` words, heard imperfectly.
 
-    Each seventh word is lost and each fifth one comes out backwards. With ``by`` of chapter
-    and page, each page of a chapter is begun anew and no chunk crosses a page.
+    Each seventh word is lost and each fifth one comes out backwards.
     """
-    first = words.groupBy(*by).agg(F.min("global_pos").alias("_first"))
+    first = words.groupBy("sura_no").agg(F.min("global_pos").alias("_first"))
     i = F.col("global_pos") - F.col("_first")
-    rows = words.join(first, [*by]).withColumn("_i", i).withColumn("chunk", F.floor(i / size))
+    rows = words.join(first, "sura_no").withColumn("_i", i).withColumn("chunk", F.floor(i / size))
     heard = F.when(F.col("_i") % 5 == 4, F.reverse("text")).otherwise(F.col("text"))
     kept = F.when(F.col("_i") % 7 != 6, F.struct("_i", heard.alias("w")))
-    begun = [F.min_by(c, "_i").alias(n) for c, n in (("page", "page"), ("flat_index", "pointer")) if c not in by]
-    return rows.groupBy(*by, "chunk").agg(F.array_sort(F.collect_list(kept))["w"].alias("words"), *begun)
+    return rows.groupBy("sura_no", "chunk").agg(
+        F.array_sort(F.collect_list(kept))["w"].alias("words"), F.min_by("page", "_i").alias("page"), F.min_by("flat_index", "_i").alias("pointer")
+    )
 
 
 def spoken_segments(words: DataFrame, refuge: str, opening: str) -> DataFrame:
@@ -211,28 +211,31 @@ def passage_stream(spark: SparkSession, sf_dir: str, step: int = 8) -> DataFrame
     )
 
 
-def recitation_stream(words: DataFrame) -> DataFrame:
+def recitation_stream(parts: DataFrame, size: int = 8) -> DataFrame:
     """Recitations as transcripts that grow over three chunks, the third one final.
 
-    A session recites what its chapter has on one page, so every page of a chapter is
-    recited; its last chunk is final too. Every final chunk is followed by a correction row
-    for strict tracking.
+    ``parts`` holds what each chapter has on each page (``Corpus.parts``); a session recites
+    one of them, so every page of a chapter is recited. Words are lost and turned as in
+    ``recitations``. A page's last chunk is final too; every final chunk is followed by a
+    correction row for strict tracking.
     """
-    part = ["sura_no", "page"]
-    chunks = recitations(words, by=tuple(part)).withColumn("run", F.floor(F.col("chunk") / 3)).select(*part, "run", "chunk", "words")
-    last = chunks.groupBy(*part).agg(F.max("chunk").alias("last"))
-    grown = chunks.alias("a").join(chunks.alias("b"), [*part, "run"]).filter("b.chunk <= a.chunk").groupBy(
-        *part, F.col("a.chunk").alias("chunk")
-    ).agg(
-        F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct(F.col("b.chunk"), F.col("b.words"))))["words"]), " ").alias("text")
-    )
-    said = grown.join(last, part).select(
-        F.concat_ws("/", *[F.col(c).cast("string") for c in part]).alias("session"), "page", (F.col("chunk") * 2).alias("seq"),
-        F.timestamp_seconds(F.col("chunk") * 3).alias("ts"), F.lit("asr").alias("kind"), "text",
-        ((F.col("chunk") % 3 == 2) | (F.col("chunk") == F.col("last"))).alias("is_final"),
-    )
-    mended = said.filter("is_final").select(
+    last = F.floor((F.size("texts") - 1) / size)
+    rows = parts.select("sura_no", "page", "texts", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk"))
+    begin = F.floor(F.col("chunk") / 3) * 3 * size
+    said = F.slice("texts", (begin + 1).cast("int"), ((F.col("chunk") + 1) * size - begin).cast("int"))
+
+    def heard(word, k):
+        i = k + begin
+        return F.when(i % 7 == 6, None).when(i % 5 == 4, F.reverse(word)).otherwise(word)
+
+    final = (F.col("chunk") % 3 == 2) | (F.col("chunk") == F.col("last"))
+    spoken = rows.select(
+        F.concat_ws("/", F.col("sura_no").cast("string"), F.col("page").cast("string")).alias("session"), "page",
+        (F.col("chunk") * 2).alias("seq"), F.timestamp_seconds(F.col("chunk") * 3).alias("ts"), F.lit("asr").alias("kind"),
+        F.array_join(F.transform(said, heard), " ").alias("text"), final.alias("is_final"),
+    )
+    mended = spoken.filter("is_final").select(
         "session", "page", (F.col("seq") + 1).alias("seq"), "ts", F.lit("correct").alias("kind"),
         F.lit("").alias("text"), F.lit(False).alias("is_final"),
     )
-    return said.unionByName(mended)
+    return spoken.unionByName(mended)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.folds import ordered_fold
 from lectern.functions.text import normalize_arabic, split_words
@@ -122,6 +129,23 @@ def tracking_step(strict: bool):
     return step
 
 
+def page_words(words: DataFrame) -> DataFrame:
+    """(page, expected): normalised words of each page; such a table is taken as it is."""
+    if "expected" in words.columns:
+        return words.select("page", "expected")
+    return words.groupBy("page").agg(
+        F.array_sort(F.collect_list(F.struct("flat_index", "norm")))["norm"].alias("expected")
+    )
+
+
+def _heard(transcripts: DataFrame, norm) -> DataFrame:
+    return transcripts.select(
+        "session", "page", "seq", "kind", "is_final",
+        F.col("ts").cast("double").alias("seconds"),
+        F.transform(split_words(F.col("text")), norm).alias("words"),
+    )
+
+
 def with_expected(transcripts: DataFrame, words: DataFrame, norm=normalize_arabic) -> DataFrame:
     """Transcripts with normalised words and their page's expected words, in the JVM.
 
@@ -129,29 +153,68 @@ def with_expected(transcripts: DataFrame, words: DataFrame, norm=normalize_arabi
     travel with each row, a page being the unit a session recites. A page that the corpus
     lacks has no words; its rows stay, and the tracker says so.
     """
-    pages = words.groupBy("page").agg(
-        F.array_sort(F.collect_list(F.struct("flat_index", "norm")))["norm"].alias("expected")
-    )
-    heard = transcripts.select(
-        "session", "page", "seq", "kind", "is_final",
-        F.col("ts").cast("double").alias("seconds"),
-        F.transform(split_words(F.col("text")), norm).alias("words"),
-    )
-    return heard.join(pages, "page", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
+    rows = _heard(transcripts, norm).join(page_words(words), "page", "left")
+    return rows.withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
+
+
+_IN_ROW = ["seq", "kind", "is_final", "seconds", "words"]
+
+
+def _line(words) -> Column:
+    """Words as lines of one text, null without any: smaller in a shuffle than an array."""
+    return F.when(F.size(words) > 0, F.array_join(words, "\n"))
+
+
+def _lines(text) -> list[str]:
+    return text.split("\n") if isinstance(text, str) else []
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of one session and page in one row."""
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        same = np.ones(n - 1, dtype=bool)
+        for name in ("session", "page"):
+            column = batch.column(name)
+            same &= pc.fill_null(pc.equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+        head = np.flatnonzero(np.append(True, ~same))
+        ends = pa.array(np.append(head, n), pa.int32())
+        rows = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in _IN_ROW]
+        take = pa.array(head)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("session").take(take), batch.column("page").take(take), *rows], names=["session", "page", *_IN_ROW]
+        )
+
+
+def _unpack(batch: pd.DataFrame) -> pd.DataFrame:
+    rows = batch.assign(expected=batch["expected"].map(_lines)).explode(_IN_ROW, ignore_index=True)
+    return rows.assign(words=rows["words"].map(_lines))
+
+
+def _tracked_stream(transcripts: DataFrame, words: DataFrame, strict: bool, norm=normalize_arabic) -> DataFrame:
+    """The fold of a stream: a page's words travel once with all rows of a session that stand together."""
+    heard = _heard(transcripts, norm).withColumn("words", _line(F.col("words"))).select("session", "page", *_IN_ROW)
+    keys = [T.StructField(c, heard.schema[c].dataType) for c in ("session", "page")]
+    packed = heard.mapInArrow(_pack, T.StructType([*keys, *(T.StructField(c, T.ArrayType(heard.schema[c].dataType)) for c in _IN_ROW)]))
+    rows = packed.join(page_words(words).select("page", _line(F.col("expected")).alias("expected")), "page", "left")
+    return fold_stream(rows, ["session"], "seq", start_tracking, tracking_step(strict), STATE, EVENTS, _unpack)
 
 
 def track_recitation(transcripts: DataFrame, words: DataFrame, strict: bool = False, lateness: str | None = None) -> DataFrame:
     """Word events of every session, from a stream or from a table of transcripts.
 
-    Each session's rows are folded in order of ``seq``. With ``lateness`` (such as ``10
-    seconds``) the rows of a stream may arrive out of order by that much.
+    ``words`` is the corpus by word, or ``(page, expected)``. Each session's rows are folded in
+    order of ``seq``. With ``lateness`` (such as ``10 seconds``) the rows of a stream may arrive
+    out of order by that much.
     """
+    if transcripts.isStreaming and lateness is None:
+        return _tracked_stream(transcripts, words, strict)
     rows = with_expected(transcripts, words)
-    if transcripts.isStreaming and lateness is not None:
+    if transcripts.isStreaming:
         rows = rows.withColumn("at", F.timestamp_millis((F.col("seconds") * 1000).cast("bigint")))
         return fold_late_stream(rows, ["session"], "seq", start_tracking, tracking_step(strict), STATE, EVENTS, "at", lateness)
-    if transcripts.isStreaming:
-        return fold_stream(rows, ["session"], "seq", start_tracking, tracking_step(strict), STATE, EVENTS)
     return ordered_fold(rows, ["session"], ["seq"], start_tracking, tracking_step(strict), EVENTS)
 
 

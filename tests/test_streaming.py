@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.functions.session import fresh_path
-from lectern.plans.corpus_tables import corpus_words
+from lectern.plans.corpus_tables import corpus_words, packed_corpus
 from lectern.sources import bindings
 from lectern.streaming import follow, recitation
 from lectern.streaming.folds import run_to_table
@@ -12,7 +12,7 @@ from workload.streams import _heard, detect_position, follow_position
 
 def test_tracking_equals_its_table(spark, small_dir):
     words = corpus_words(spark, small_dir)
-    said = bindings.recitation_stream(words)
+    said = bindings.recitation_stream(packed_corpus(spark, small_dir).parts("sura_no", "page"))
     # one trigger per file; a session's rows arrive in order within and across triggers
     path = fresh_path(spark, "said")
     top = said.agg(F.max("seq")).first()[0]
