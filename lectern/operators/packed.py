@@ -41,7 +41,10 @@ def packed_verses(verses: DataFrame, norm=normalize_arabic, need_space: bool = F
     placed = sizes.select("id", "page").join(running_offset(sizes, "id", "n", "start"), "id")
     pages = placed.groupBy("page").agg(F.min("start").alias("page_start"))
     placed = placed.join(pages, "page").select("id", "start", "page_start")
-    return rows.join(placed, "id").select("id", "page", "sura_no", "aya_no", "sura_name_en", "start", "page_start", "texts", "norms")
+    # words hold no blank: they are shuffled as one text, a fourth of an array's size
+    lines = rows.withColumns({c: F.array_join(c, " ") for c in ("texts", "norms")}).join(placed, "id")
+    texts = F.when(F.col("texts") == "", F.array().cast("array<string>")).otherwise(F.split("texts", " "))
+    return lines.select("id", "page", "sura_no", "aya_no", "sura_name_en", "start", "page_start", texts.alias("texts"), F.split("norms", " ").alias("norms"))
 
 
 @dataclass(frozen=True)
