@@ -109,10 +109,16 @@ class Corpus:
     def parts(self, *by: str) -> DataFrame:
         """All words of each part of the corpus, in order, in a row: ``by``, flat_index of the
         first word, texts, norms. Name a bounded part, such as what a chapter has on a page."""
-        verse = F.struct("start", (F.col("start") - F.col("page_start")).alias("flat"), "texts", F.coalesce("norms", "texts").alias("norms"))
+        # as lines in the shuffle, normal forms only where they differ
+        verse = F.struct(
+            "start", (F.col("start") - F.col("page_start")).alias("flat"),
+            F.array_join("texts", " ").alias("texts"), F.array_join("norms", " ").alias("norms"),
+        )
         held = self.verses.filter(F.size("texts") > 0).groupBy(*by).agg(F.array_sort(F.collect_list(verse)).alias("v"))
+        norms = F.transform("v", lambda v: F.coalesce(v["norms"], v["texts"]))
         return held.select(
-            *by, F.col("v")[0]["flat"].alias("flat_index"), F.flatten(F.col("v")["texts"]).alias("texts"), F.flatten(F.col("v")["norms"]).alias("norms")
+            *by, F.col("v")[0]["flat"].alias("flat_index"),
+            F.split(F.array_join(F.col("v")["texts"], " "), " ").alias("texts"), F.split(F.array_join(norms, " "), " ").alias("norms"),
         )
 
     def places(self, rows: DataFrame, at: str = "global_pos") -> DataFrame:
