@@ -72,6 +72,15 @@ def word_to_phonemes(word: Column, web_form: bool = False) -> Column:
     ).otherwise(_spoken(norm))
 
 
+def phoneme_count(word: Column, web_form: bool = False) -> Column:
+    """Size of ``word_to_phonemes`` without making the phonemes."""
+    norm = normalize_arabic(word) if web_form else normalize_for_alignment(word)
+    names = _literal_map({k: str(len(v)) for k, v in DISCONNECTED_LETTER_NAMES.items()})
+    known = F.length(norm) - F.length(F.translate(norm, "".join(LETTER_PHONEMES), ""))
+    named = F.when(is_muqattaat(word) & (F.length(norm) == 1), F.try_element_at(names, norm).cast("int"))
+    return F.coalesce(named, known).cast("bigint")
+
+
 def text_to_phonemes(text: Column, web_form: bool = False) -> Column:
     """One phoneme array per word of a text."""
     return F.transform(split_words(text), lambda w: word_to_phonemes(w, web_form))

@@ -56,10 +56,12 @@ def token_table(verses: DataFrame, need_space: bool = False) -> DataFrame:
 
 def phoneme_table(words: DataFrame, web_form: bool = False) -> DataFrame:
     """Phonemes of each word, their number, and the disconnected-letter flag."""
-    spoken = ph.word_to_phonemes(F.col("text"), web_form)
-    return words.withColumn("phonemes", spoken).withColumn(
-        "n_phonemes", F.size("phonemes").cast("bigint")
-    ).withColumn("is_muqattaat", ph.is_muqattaat(F.col("text")))
+    text = F.col("text")
+    return words.withColumns({
+        "phonemes": ph.word_to_phonemes(text, web_form),
+        "n_phonemes": ph.phoneme_count(text, web_form),
+        "is_muqattaat": ph.is_muqattaat(text),
+    })
 
 
 def phoneme_rows(spoken: DataFrame) -> DataFrame:
