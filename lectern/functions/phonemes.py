@@ -6,12 +6,13 @@ plain sequence of its letters' phonemes and no vowel rule is left to apply.
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import normalize_arabic, normalize_for_alignment, split_words
+from lectern.functions.text import ALIGNMENT_MARKS, HAMZA_FORMS, SEARCH_MARKS, TATWEEL, normalize_arabic, normalize_for_alignment, split_words
 
 # --- fixed values -----------------------------------------------------------
 LETTER_PHONEMES = {
@@ -72,13 +73,36 @@ def word_to_phonemes(word: Column, web_form: bool = False) -> Column:
     ).otherwise(_spoken(norm))
 
 
-def phoneme_count(word: Column, web_form: bool = False) -> Column:
-    """Size of ``word_to_phonemes`` without making the phonemes."""
+def _ranges_of(chars) -> str:
+    """Letters as the ranges of a character class."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
+def _silent(web_form: bool) -> str:
+    """What has no phoneme, blanks excepted; hamza forms sound as the bare alif they become."""
+    dropped = f"[{TATWEEL}{ALIGNMENT_MARKS}]" if not web_form else f"{TATWEEL}|{SEARCH_MARKS}"
+    heard = {c for c in [*LETTER_PHONEMES, *HAMZA_FORMS] if not re.match(dropped, c)}
+    return f"[^ {_ranges_of(heard)}]"
+
+
+def phoneme_count(word: Column, web_form: bool = False, heard: Column | None = None) -> Column:
+    """Size of ``word_to_phonemes`` without making the phonemes; ``heard`` is the word as ``heard_letters`` leaves it."""
     norm = normalize_arabic(word) if web_form else normalize_for_alignment(word)
     names = _literal_map({k: str(len(v)) for k, v in DISCONNECTED_LETTER_NAMES.items()})
-    known = F.length(norm) - F.length(F.translate(norm, "".join(LETTER_PHONEMES), ""))
     named = F.when(is_muqattaat(word) & (F.length(norm) == 1), F.try_element_at(names, norm).cast("int"))
-    return F.coalesce(named, known).cast("bigint")
+    heard = heard_letters(word, web_form) if heard is None else heard
+    return F.coalesce(named, F.length(heard)).cast("bigint")
+
+
+def heard_letters(line: Column, web_form: bool = False) -> Column:
+    """Words without the letters that have no phoneme; blanks stay."""
+    return F.regexp_replace(line, _silent(web_form), "")
 
 
 def text_to_phonemes(text: Column, web_form: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.phonemes import text_to_phonemes
+from lectern.functions.phonemes import text_to_phonemes, word_to_phonemes
 from lectern.functions.session import through_table
 from lectern.functions.text import normalize_arabic
 from lectern.operators.packed import Corpus, packed_verses
@@ -139,16 +139,25 @@ def text_window(windows: DataFrame, words: DataFrame, width: int = 256) -> DataF
     )
 
 
-def phoneme_window(windows: DataFrame, words: DataFrame, width: int = 256) -> DataFrame:
-    """Phonemes of each window and the corpus position of the word owning each."""
-    spoken = words.select("global_pos", "phonemes") if "phonemes" in words.columns else words.select(
-        "global_pos", F.flatten(text_to_phonemes(F.col("text"))).alias("phonemes")
-    )
+def phoneme_window(windows: DataFrame, words: Corpus | DataFrame, width: int = 256) -> DataFrame:
+    """Phonemes of each window and the corpus position of the word owning each.
+
+    A packed corpus is met verse by verse; phonemes are made for words in windows only.
+    """
     asked = windows.filter("start_pos <= end_pos").select("window_id", "start_pos", "end_pos")
-    hits = _window_words(asked, spoken, width, ["phonemes"])
-    packed = hits.groupBy("window_id").agg(
-        F.array_sort(F.collect_list(F.struct("global_pos", "phonemes"))).alias("ws")
-    )
+    if isinstance(words, Corpus):
+        parts = words.slices(asked).groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("low", "line"))).alias("ps"))
+        line = F.split(F.array_join(F.col("ps")["line"], " "), " ")
+        packed = parts.select("window_id", F.transform(line, lambda w, i: F.struct(
+            (F.col("ps")[0]["low"] + i).alias("global_pos"), word_to_phonemes(w).alias("phonemes"))).alias("ws"))
+    else:
+        spoken = words.select("global_pos", "phonemes") if "phonemes" in words.columns else words.select(
+            "global_pos", F.flatten(text_to_phonemes(F.col("text"))).alias("phonemes")
+        )
+        hits = _window_words(asked, spoken, width, ["phonemes"])
+        packed = hits.groupBy("window_id").agg(
+            F.array_sort(F.collect_list(F.struct("global_pos", "phonemes"))).alias("ws")
+        )
     owner = F.flatten(
         F.transform(
             "ws", lambda w: F.transform(w["phonemes"], lambda p: w["global_pos"])

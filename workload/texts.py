@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import parse_word_ref, split_words
 from lectern.operators import index, text_jobs
-from lectern.plans.corpus_tables import arabic_corpus, arabic_words, corpus_words
+from lectern.plans.corpus_tables import arabic_corpus, arabic_words, corpus_words, packed_arabic
 from lectern.sources.bindings import fold_accents, table
 from workload.base import (
     ARABIC_VERSES, ARABIC_WORDS, SEGMENT_MARKS, WORDS, common_letters, fold, letters, norm_align, norm_search, norm_segment, sim, strip_number, tokens, trim_all, with_,
@@ -84,7 +84,7 @@ def text_window(spark, sf_dir):
 
 
 def phoneme_window(spark, sf_dir):
-    w = index.phoneme_window(_windows(spark, sf_dir), arabic_words(spark, sf_dir))
+    w = index.phoneme_window(_windows(spark, sf_dir), packed_arabic(spark, sf_dir))
     return w.select(
         "window_id",
         F.coalesce(F.array_join("phonemes", " "), F.lit("")).alias("phonemes"),
