@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import parse_word_ref, split_words
 from lectern.operators import index, text_jobs
-from lectern.plans.corpus_tables import arabic_corpus, arabic_words, corpus_words, packed_arabic
+from lectern.plans.corpus_tables import arabic_corpus, arabic_words, corpus_lines, corpus_words, packed_arabic
 from lectern.sources.bindings import fold_accents, table
 from workload.base import (
     ARABIC_VERSES, ARABIC_WORDS, SEGMENT_MARKS, WORDS, common_letters, fold, letters, norm_align, norm_search, norm_segment, sim, strip_number, tokens, trim_all, with_,
@@ -119,7 +119,7 @@ QUERIES = {
     "posting_chunks": posting_chunks,
     "chapter_ranges": lambda s, d: index.chapter_ranges(corpus_words(s, d)),
     "verse_ranges": lambda s, d: index.verse_ranges(corpus_words(s, d)),
-    "chapter_verse_count": lambda s, d: index.chapter_verse_count(corpus_words(s, d)),
+    "chapter_verse_count": lambda s, d: corpus_lines(s, d).chapter_verse_count(),
     "text_window": text_window,
     "phoneme_window": phoneme_window,
     "word_at": word_at,
