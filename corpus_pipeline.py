@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.session import fresh_path
+from lectern.functions.session import broadcast_if_small, fresh_path
 from lectern.llm import decontaminate, near_dup, packing, quality_qda, substring_dedup
 
 
@@ -44,9 +44,13 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts stay out of the index: the few contaminated rows are named by doc_id and digest, and taken out."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.decontaminate(docs, items, keep=docs.columns)
-    return found.where("not contaminated").select("doc.*")
+    named = docs.withColumn("_digest", F.sha2("text", 256))
+    found = decontaminate.decontaminate(named.select("doc_id", "text", "_digest"), items, keep=("doc_id", "_digest"))
+    hit = found.where("contaminated").select(F.col("doc.doc_id").alias("_id"), F.col("doc._digest").alias("_hit")).distinct()
+    same = named["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_hit"))
+    return named.join(broadcast_if_small(hit), same, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

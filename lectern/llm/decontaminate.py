@@ -35,6 +35,8 @@ from lectern.llm.text import ALNUM, Words, pieces, runs
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
+#: a row is megabytes here, so the (compressed) size of a row group is looked at from its second row on, not its hundredth
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -156,7 +158,7 @@ def build_index(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> DataFrame
     spark = docs.sparkSession
     path = fresh_path(spark, "postings")
     made = rows.mapInArrow(segments, schema)
-    made.write.option("compression", "zstd").parquet(path)
+    made.write.options(**ROW_GROUPS).option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
